@@ -4,25 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Blank characters that a text strip removes.
+# Blank characters, as a set to strip and as a pattern.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233,
+                           8239, 8287, 12288)))
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 # 12-hour clock, hour 1-12, minute 0-59, AM or PM directly after the minute.
-CLOCK = r"^(1[0-2]|0[1-9]|[1-9]):([0-5][0-9]|[0-9])([AaPp])[Mm]$"
+CLOCK = r"^(1[0-2]|0[1-9]|[1-9]):([0-5][0-9]|[0-9])[AaPp][Mm]$"
 INVALID_TIME = "Invalid Time"
 
 
 def strip(text: Column) -> Column:
     """Remove blanks of every kind at both ends (``trim`` removes spaces only)."""
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def clock_minutes(text: Column) -> Column:
     """``9:05AM`` as 545; null if the text is no such time."""
     text = strip(text)
-    hour = F.regexp_extract(text, CLOCK, 1).try_cast("int")
-    minute = F.regexp_extract(text, CLOCK, 2).try_cast("int")
-    half = F.when(F.upper(F.regexp_extract(text, CLOCK, 3)) == "P", 720).otherwise(0)
-    return hour % 12 * 60 + minute + half
+    hour = F.substring_index(text, ":", 1).try_cast("int")
+    after = F.substring_index(text, ":", -1)
+    minute = F.left(after, F.length(after) - 2).try_cast("int")
+    half = F.when(F.upper(F.right(after, F.lit(2))) == "PM", 720).otherwise(0)
+    return F.when(text.rlike(CLOCK), hour % 12 * 60 + minute + half)
 
 
 def clock_text(minutes: Column) -> Column:
@@ -49,8 +52,8 @@ SLOT = r"([A-Za-z]+), ([0-9]+:[0-9]+) - ([0-9]+:[0-9]+)"
 
 def half_hours(text: Column) -> Column:
     """``14:30`` as 14.5; only the minute text ``30`` counts as half an hour."""
-    hour = F.split_part(text, F.lit(":"), F.lit(1)).try_cast("double")
-    return hour + F.when(F.split_part(text, F.lit(":"), F.lit(2)) == "30", 0.5).otherwise(0.0)
+    hour = F.substring_index(text, ":", 1).try_cast("double")
+    return hour + F.when(F.substring_index(text, ":", -1) == "30", 0.5).otherwise(0.0)
 
 
 def slot(text: Column) -> Column:

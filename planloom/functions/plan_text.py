@@ -43,12 +43,17 @@ def golden_steps(listed: Column, text: Column, keep_blank: bool) -> Column:
 
 
 def _after(text: Column, mark: str) -> Column:
-    """The text between the first and the second ``mark``; null if there is no mark."""
-    return F.when(F.contains(text, F.lit(mark)), F.split_part(text, F.lit(mark), F.lit(2)))
+    """The text between the first and the second ``mark``; null if there is no mark.
+
+    ``substring_index`` searches bytes; ``split`` and ``split_part`` would compile a pattern per row.
+    """
+    at = F.instr(text, mark)
+    rest = F.substring(text, at + len(mark), F.length(text))
+    return F.when(at > 0, F.substring_index(rest, mark, 1))
 
 
 def _upto(text: Column, mark: str) -> Column:
-    return strip(F.split_part(text, F.lit(mark), F.lit(1)))
+    return strip(F.substring_index(text, mark, 1))
 
 
 def step(sentence: Column, strict: bool = False) -> Column:

@@ -90,6 +90,9 @@ def replay(seq: Ordered, edges: DataFrame, rule: str = LENIENT, edge_keys: Seque
     ``seq`` has ``kind, dest, wait_min, person, malformed`` per step, ``start_location, start_min`` of its
     plan, and ``dur_min, place, open_min, close_min`` of its person (nulls if unknown).
     """
+    if rule != CLAMPED:
+        # first, as the only scan in another sort order
+        seq = seq.running(by=["person"], times_met=total((F.col("kind") == MEET).cast("int"), inclusive=False))
     seq = with_travel(seq, edges, edge_keys)
     spend = F.when(F.col("kind") == TRAVEL, F.coalesce("travel_min", F.lit(0))).when(
         F.col("kind") == MEET, F.coalesce("dur_min", F.lit(0))).otherwise(0).cast("long")
@@ -100,7 +103,6 @@ def replay(seq: Ordered, edges: DataFrame, rule: str = LENIENT, edge_keys: Seque
         base = F.greatest(F.col("ahead"), F.col("start_min"))
     else:
         seq = seq.running(ahead=latest(ahead, inclusive=False))
-        seq = seq.running(by=["person"], times_met=total((F.col("kind") == MEET).cast("int"), inclusive=False))
         base = F.coalesce(F.col("ahead"), F.col("start_min"))
     seq = seq.with_columns(now=F.col("spent") - F.col("spend") + base)
     seq = _stopped(seq, _reasons(rule))
@@ -115,11 +117,11 @@ def replay_structured(seq: Ordered, edges: DataFrame, edge_keys: Sequence[str] =
     clock to its start, and meets its person if the problem knows that person.
     """
     seq = seq.derive(seq.df.where("pos > 1").withColumn("dest", F.nullif("location", F.lit(""))))
-    seq = with_travel(seq, edges, edge_keys)
     known = F.col("dur_min").isNotNull()
+    seq = seq.running(by=["person"], times_met=total(known.cast("int"), inclusive=False))
+    seq = with_travel(seq, edges, edge_keys)
     end = F.col("start_at") + F.coalesce("dur_min", F.lit(0))
     seq = seq.running(ended=latest(end, inclusive=False))
-    seq = seq.running(by=["person"], times_met=total(known.cast("int"), inclusive=False))
     moves = F.col("dest").isNotNull() & (F.col("dest") != F.col("loc"))
     arrived = F.coalesce("ended", "start_min") + F.when(moves, F.col("travel_min")).otherwise(0)
     fresh = known & (F.col("times_met") == 0)
