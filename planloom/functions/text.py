@@ -7,6 +7,7 @@ import string
 from pyspark.sql import Column, functions as F
 
 from planloom.functions.clock import BLANK, strip
+from planloom.functions.let import let
 
 # Words that answer matching ignores.
 IGNORED_WORDS = ("a", "an", "the", "usd")
@@ -68,20 +69,30 @@ def truncate_scratchpad(text: Column, limit: int, tokens=word_count) -> Column:
 
     ``tokens`` counts a line; the text counts as the sum of its lines. Of equal lines the last one goes first.
     """
+    def short(line: Column) -> Column:
+        # the notice keeps the line's text up to its first colon
+        return F.concat(F.substring_index(line, ":", 1), F.lit(TRUNCATED))
+
+    def size_at(x: Column) -> Column:
+        return F.struct(x["size"].alias("size"), x["at"].alias("at"))
+
+    def cut(lines: Column) -> Column:
+        """Largest and last first; gives (size, at) of the last line that must go."""
+        ranked = F.reverse(F.array_sort(F.transform(F.filter(lines, lambda x: x["observed"]), lambda x: F.struct(
+            size_at(x).alias("place"), (x["size"] - tokens(short(x["line"]))).alias("saved")))))
+        start = F.struct(F.aggregate(lines, F.lit(0), lambda s, x: s + x["size"]).alias("left"),
+                         F.lit(None).cast("struct<size:int,at:int>").alias("until"))
+        return F.aggregate(ranked, start, lambda s, x: F.when(s["left"] <= limit, s).otherwise(F.struct(
+            (s["left"] - x["saved"]).alias("left"), x["place"].alias("until"))))["until"]
+
+    def shortened(bound: Column) -> Column:
+        return F.array_join(F.transform(bound["lines"], lambda x: F.when(
+            x["observed"] & (size_at(x) >= bound["until"]), short(x["line"])).otherwise(x["line"])), "\n")
+
     lines = F.transform(F.split(text, "\n"), lambda line, at: F.struct(
         at.alias("at"), line.alias("line"), tokens(line).alias("size"),
         F.startswith(line, F.lit("Observation")).alias("observed")))
-    # the notice keeps the line's text up to its first colon
-    short = lambda line: F.concat(F.split_part(line, F.lit(":"), F.lit(1)), F.lit(TRUNCATED))
-    ranked = F.reverse(F.array_sort(F.transform(
-        F.filter(lines, lambda x: x["observed"]),
-        lambda x: F.struct(x["size"], x["at"], (x["size"] - tokens(short(x["line"]))).alias("saved")))))
-    start = F.struct(F.aggregate(lines, F.lit(0), lambda s, x: s + x["size"]).alias("left"),
-                     F.array().cast("array<int>").alias("cut"))
-    plan = F.aggregate(ranked, start, lambda s, x: F.when(s["left"] <= limit, s).otherwise(F.struct(
-        (s["left"] - x["saved"]).alias("left"), F.array_append(s["cut"], x["at"]).alias("cut"))))
-    return F.array_join(F.transform(lines, lambda x: F.when(
-        F.array_contains(plan["cut"], x["at"]), short(x["line"])).otherwise(x["line"])), "\n")
+    return let(lines, lambda found: let(F.struct(found.alias("lines"), cut(found).alias("until")), shortened))
 
 
 def _response_json(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("meeting", "datasets", "calendar", "lookups", "responses", "training", "trajectories")
+FAMILIES = ("meeting", "records", "datasets", "calendar", "lookups", "responses", "training", "trajectories")
 
 
 def _merged(attribute: str) -> dict:
