@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from planloom.functions.let import let
+
 # Blank characters, as a set to strip and as a pattern.
 BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233,
                            8239, 8287, 12288)))
@@ -20,12 +22,13 @@ def strip(text: Column) -> Column:
 
 def clock_minutes(text: Column) -> Column:
     """``9:05AM`` as 545; null if the text is no such time."""
-    text = strip(text)
-    hour = F.substring_index(text, ":", 1).try_cast("int")
-    after = F.substring_index(text, ":", -1)
-    minute = F.left(after, F.length(after) - 2).try_cast("int")
-    half = F.when(F.upper(F.right(after, F.lit(2))) == "PM", 720).otherwise(0)
-    return F.when(text.rlike(CLOCK), hour % 12 * 60 + minute + half)
+    def read(clock: Column) -> Column:
+        hour = F.substring_index(clock, ":", 1).try_cast("int")
+        after = F.substring_index(clock, ":", -1)
+        minute = F.left(after, F.length(after) - 2).try_cast("int")
+        half = F.when(F.upper(F.right(after, F.lit(2))) == "PM", 720).otherwise(0)
+        return F.when(clock.rlike(CLOCK), hour % 12 * 60 + minute + half)
+    return let(strip(text), read)
 
 
 def clock_text(minutes: Column) -> Column:
@@ -40,10 +43,12 @@ def clock_text(minutes: Column) -> Column:
 
 def range_minutes(text: Column) -> Column:
     """``10:30AM to 1:30PM`` as a struct of two minutes; null unless it splits in two at ``to``."""
-    halves = F.split(text, "to")
-    start, end = clock_minutes(F.get(halves, F.lit(0))), clock_minutes(F.get(halves, F.lit(1)))
-    return F.when((F.size(halves) == 2) & start.isNotNull() & end.isNotNull(),
-                  F.struct(start.alias("open_min"), end.alias("close_min")))
+    def bounds(halves: Column) -> Column:
+        window = F.struct(clock_minutes(F.get(halves, F.lit(0))).alias("open_min"),
+                          clock_minutes(F.get(halves, F.lit(1))).alias("close_min"))
+        return F.when(F.size(halves) == 2, window)
+    return let(let(F.split(text, "to"), bounds),
+               lambda w: F.when(w["open_min"].isNotNull() & w["close_min"].isNotNull(), w))
 
 
 # The shape of a proposed slot.
