@@ -60,18 +60,21 @@ def repeats(seq: Ordered, act: str, limit: int = MAX_REPEATS) -> Ordered:
 
 def retries(seq: Ordered, act: str, success: str, limit: int = MAX_RETRIES,
             tools: Mapping[str, str] = TOOLS) -> Ordered:
-    """Add ``tool``, its ``failures`` since the last success of any tool, and ``retry_halt``.
+    """Add ``epoch`` (successes so far), ``tool``, its ``failures`` since the last success, and ``retry_halt``.
 
     An attempt is refused once its tool has ``limit`` failures. Unknown names share one counter. The final
     action is exempt; an empty action counts as a failure but is never refused.
     """
     name = action(F.col(act))["type"]
-    empty = F.col(act).isNull() | F.col(act).isin("", "\n")
     seq = seq.with_columns(tool=tool_of(name, tools))
-    seq = seq.running(_epoch=total(F.col(success).cast("int"), inclusive=False))
-    seq = seq.running(by=["_epoch", "tool"], failures=total((~F.col(success)).cast("int"), inclusive=False))
-    guarded = ~empty & ~name.eqNullSafe(F.lit(FINAL))
-    return seq.with_columns(retry_halt=guarded & (F.col("failures") >= limit)).derive_without("_epoch")
+    seq = seq.running(epoch=total(F.col(success).cast("int"), inclusive=False))
+    seq = seq.running(by=["epoch", "tool"], failures=total((~F.col(success)).cast("int"), inclusive=False))
+    return seq.with_columns(retry_halt=is_guarded(F.col(act)) & (F.col("failures") >= limit))
+
+
+def is_guarded(act: Column) -> Column:
+    """Actions whose retries are limited: all but the empty and the final one."""
+    return ~F.coalesce(act.isin("", "\n"), F.lit(True)) & ~action(act)["type"].eqNullSafe(F.lit(FINAL))
 
 
 def budgets(seq: Ordered, tokens: Column, max_steps: int = MAX_STEPS, max_tokens: int = MAX_TOKENS) -> Ordered:

@@ -9,6 +9,8 @@ from planloom.operators.ordered import MAX_GROUP_ROWS, Ordered
 from planloom.operators.trajectory import (SUCCESSFUL, budgets, halts, numbered, outcomes, repeats, retries,
                                            step_state)
 from planloom.plans.tables import table
+from planloom.session import scratch_path
+from planloom.streaming.guard import live_guard
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +77,22 @@ def trajectory_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectories(spark, sf_dir).rows().select("query_id", "step", "action", "observation", "state")
 
 
+def live_halts(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
+    """The three rules over the events as a stream of files, in the order of time."""
+    rows = assessed(spark, sf_dir).select("query_id", "ts", "event_id", "action", "observation",
+                                          (F.col("state") == SUCCESSFUL).alias("success"))
+    root = scratch_path(spark, "live")
+    last = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 1
+    for part in range(batches):
+        within = F.floor(F.col("event_id") * batches / last) == part
+        rows.where(within).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    query = live_guard(spark, stream, root, ["query_id"], ["ts", "event_id"],
+                       lambda: F.length("action") + F.length("observation"), max_steps=60, max_tokens=1200)
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/halts").drop("batch")
+
+
 QUERIES = {
     "action_parse": action_parse,
     "date_check": date_check,
@@ -83,6 +101,7 @@ QUERIES = {
     "budget_halt": budget_halt,
     "trajectory_outcomes": trajectory_outcomes,
     "trajectory_log": trajectory_log,
+    "live_guard": live_halts,
 }
 
 _TRAJECTORIES = """WITH base AS (SELECT user_id AS query_id, ts, event_id, value, props AS observation, event_type AS kind,
@@ -113,6 +132,16 @@ SQL = {
     "budget_halt": _TRAJECTORIES + """, ruled AS (SELECT *, step > 60 OR coalesce(sum(length(action) + length(observation)) OVER
           (PARTITION BY query_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 1200 AS halt
           FROM steps)""" + _HALT,
+    "live_guard": _TRAJECTORIES + """, epochs AS (SELECT *, CASE kind WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3
+          WHEN 'purchase' THEN 4 ELSE 5 END AS tool, coalesce(sum(CASE WHEN state = 'Successful' THEN 1 ELSE 0 END) OVER
+          (PARTITION BY query_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM steps),
+        ruled AS (SELECT query_id, step, CASE WHEN step > 60 OR coalesce(sum(length(action) + length(observation)) OVER
+            (PARTITION BY query_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 1200 THEN 'budget exceeded'
+          WHEN coalesce(action = lag(action, 1) OVER w AND action = lag(action, 2) OVER w, false) THEN 'same action 3 times repeated'
+          WHEN action <> '' AND coalesce(sum(CASE WHEN state <> 'Successful' THEN 1 ELSE 0 END) OVER
+          (PARTITION BY query_id, epoch, tool ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 3
+          THEN 'early stop after retries' END AS reason FROM epochs WINDOW w AS (PARTITION BY query_id ORDER BY step))
+        SELECT query_id, min(step) AS halt_step, arg_min(reason, step) AS reason FROM ruled WHERE reason IS NOT NULL GROUP BY query_id""",
     "trajectory_outcomes": _TRAJECTORIES + " SELECT state, count(*) AS steps FROM acts GROUP BY state",
     "trajectory_log": _TRAJECTORIES + " SELECT query_id, step, action, observation, state FROM steps",
 }
