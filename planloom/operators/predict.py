@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -68,5 +68,22 @@ def two_stages(df: DataFrame, prompt: str, first: Responder, second: Responder,
     return with_predictions(with_predictions(df, prompt, first, between), between, second, out)
 
 
+def map_rows(df: DataFrame, function: Callable[[dict], dict], fields: str) -> DataFrame:
+    """Add the fields that ``function`` returns for each row (``fields`` as DDL), replacing equal names.
+
+    For what column expressions cannot say; rows go through Python in Arrow batches.
+    """
+    added = T.StructType.fromDDL(fields)
+    kept = [f for f in df.schema.fields if f.name not in added.names]
+    names = [f.name for f in kept] + added.names
+
+    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [row | function(row) for row in batch.to_dict("records")]
+            yield pd.DataFrame(rows, columns=names)
+
+    return df.mapInPandas(mapped, T.StructType([*kept, *added.fields]))
+
+
 def is_error(answer: Column) -> Column:
     return F.startswith(strip(answer), F.lit(ERROR))

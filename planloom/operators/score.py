@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from planloom.functions.clock import slot
+from planloom.functions.let import let
 
 # Size of the groups that the fixed-denominator report assumes, and the largest group.
 SAMPLES_PER_SIZE = 100
@@ -23,6 +24,11 @@ def same_slot(prediction: Column, golden: Column) -> Column:
     return slot(prediction) == slot(golden)
 
 
+def paired(predictions: DataFrame, goldens: DataFrame, id_col: str) -> DataFrame:
+    """Predictions with the golden text of the same id. A prediction without one stays, and counts."""
+    return predictions.join(goldens, id_col, "left")
+
+
 def solve_rate(df: DataFrame, prediction: str, golden: str, by: Sequence[str] = ()) -> DataFrame:
     """Records, solved records and solve rate, over all or per group (in the order of the group's texts)."""
     solved = df.select(*by, same_slot(F.col(f"`{prediction}`"), F.col(golden)).alias("hit"))
@@ -94,6 +100,18 @@ def listed_budget(plan_json: Column, budget: Column) -> Column:
     return F.when(listed, spent <= budget).otherwise(False)
 
 
+# The fields of a day of a plan; "-" stands for not needed.
+DAY_PLAN = ("people_number int, day int, current_city string, transportation string, breakfast string, attraction string, "
+            "lunch string, dinner string, accommodation string")
+
+
+def day_plan(text: Column) -> Column:
+    """One day of a plan from its JSON text; fields that are not needed are null."""
+    return let(F.from_json(text, DAY_PLAN), lambda d: F.struct(*[
+        (F.nullif(d[name], F.lit("-")) if kind == "string" else d[name]).alias(name)
+        for name, kind in (field.split() for field in DAY_PLAN.split(", "))]))
+
+
 def day_costs(items: DataFrame, plan: str, day: str, price: Column, quantity: Column) -> DataFrame:
     """Cost of a plan's items per day: price times number of people."""
     return items.groupBy(plan, day).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from planloom.functions.clock import slot
-from planloom.operators.score import model_comparison, solve_rate
+from planloom.operators.score import model_comparison, paired, solve_rate
 from planloom.plans.tables import table
 
 KEY = F.col("o_orderkey")
@@ -45,6 +45,14 @@ def compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_comparison(slots(spark, sf_dir), "id", "golden_plan", [MODEL_A, MODEL_B], ["num_people"])
 
 
+def paired_solve_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers and golden texts in two tables, some golden texts missing, paired by id."""
+    rows = slots(spark, sf_dir)
+    goldens = rows.where("id % 10 <> 4").select("id", "golden_plan")
+    both = paired(rows.select("id", "num_people", MODEL_A), goldens, "id").na.fill("", ["golden_plan"])
+    return solve_rate(both, MODEL_A, "golden_plan", ["num_people"])
+
+
 def slot_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days and hours found in the answers of the second model."""
     found = slots(spark, sf_dir).select(slot(F.col(f"`{MODEL_B}`")).alias("slot")).select("slot.*")
@@ -56,6 +64,7 @@ QUERIES = {
     "slot_solve_by_group": slot_solve_by_group,
     "model_comparison": compare_models,
     "slot_values": slot_values,
+    "paired_solve_rate": paired_solve_rate,
 }
 
 _SLOTS = """WITH slots AS (SELECT o_orderkey AS id, CAST(2 + o_custkey % 6 AS VARCHAR) AS num_people,
@@ -66,6 +75,8 @@ _SLOTS = """WITH slots AS (SELECT o_orderkey AS id, CAST(2 + o_custkey % 6 AS VA
 _RATE = "count(*) AS samples, count(*) FILTER ({0}) AS solved, round(count(*) FILTER ({0}) / count(*)::DOUBLE, 6) AS solve_rate"
 
 SQL = {
+    "paired_solve_rate": f"""{_SLOTS}, found AS (SELECT num_people, CASE WHEN id % 10 = 4 THEN lost OR id % 11 = 0 ELSE hit_a END AS hit
+        FROM slots) SELECT num_people, {_RATE.format('hit')} FROM found GROUP BY num_people""",
     "slot_solve_rate": f"{_SLOTS} SELECT {_RATE.format('hit_a')} FROM slots",
     "slot_solve_by_group": f"""{_SLOTS} SELECT num_people, num_days, {_RATE.format('hit_a')} FROM slots
         GROUP BY num_people, num_days ORDER BY num_people, num_days""",

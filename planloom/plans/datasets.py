@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planloom.operators.predict import is_error, prediction_column, two_stages, with_predictions, with_retries
+from planloom.functions.text import judged
+from planloom.operators.predict import is_error, map_rows, prediction_column, two_stages, with_predictions, with_retries
 from planloom.plans.tables import table
 from planloom.session import scratch_path
 from planloom.sources.files import (first_rows, profile, read_jsonl, read_split, require_columns, require_rows, upsert,
@@ -104,7 +105,27 @@ def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", "turn", "information_and_constraints", "step_by_step_plan")
 
 
+def mapped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row function in Python that adds two fields."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    done = map_rows(turns, lambda r: {"label": f"{r['role']}#{r['turn']}", "chars": len(r["text"])}, "label string, chars int")
+    return done.select("conv_id", "turn", "label", "chars")
+
+
+def judged_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged responses saved as JSON lines and read back."""
+    score = F.when(F.col("event_type") == "view", F.get_json_object("props", "$.k")).otherwise('"?"')
+    text = F.concat(F.lit('{"issues": ["'), F.col("event_type"), F.lit('"], "relevance_score": '), score, F.lit("}"))
+    found = table(spark, sf_dir, "events").select("event_id", judged(text).alias("j")).select("event_id", "j.*")
+    path = scratch_path(spark, "judged")
+    write_jsonl(found, path)
+    back = read_jsonl(spark, path, found.schema)
+    return back.select("event_id", "relevance_score", "accepted", F.size("issues").alias("issues"))
+
+
 QUERIES = {
+    "map_rows": mapped_rows,
+    "judged_saved": judged_saved,
     "keyed_json_roundtrip": keyed_json_roundtrip,
     "jsonl_roundtrip": jsonl_roundtrip,
     "columnar_roundtrip": columnar_roundtrip,
@@ -124,6 +145,9 @@ _PROMPTS = """WITH prompts AS (SELECT conv_id, turn, CASE WHEN turn <> 2 THEN re
     ELSE trim('answer to ' || substr(p, 1, 20)) END AS answer FROM prompts)"""
 
 SQL = {
+    "map_rows": """SELECT conv_id, turn, role || '#' || turn AS label, CAST(length(text) AS INTEGER) AS chars FROM conversations""",
+    "judged_saved": """SELECT event_id, CASE WHEN event_type = 'view' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END
+        AS relevance_score, event_type = 'view' AS accepted, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS issues FROM events""",
     "keyed_json_roundtrip": """
         WITH d AS (SELECT CASE WHEN doc_id % 10 <> 3 THEN 'doc_' || (doc_id - doc_id % 10 % 2) END AS id, * FROM documents),
         r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id DESC) AS n FROM d WHERE id IS NOT NULL)

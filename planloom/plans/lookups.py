@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from planloom.operators.lookup import lookup, member, not_member, notebook, predicate, stated_predicates
-from planloom.operators.score import day_costs, within_budget
+from planloom.operators.score import day_costs, day_plan, within_budget
 from planloom.plans.tables import table
 from planloom.session import scratch_path
 from planloom.sources.files import read_lines
@@ -77,9 +77,12 @@ def budget_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost per order and ship year; the quantity stands for the number of people."""
-    line = table(spark, sf_dir, "lineitem").withColumn("day", F.year("l_shipdate"))
-    return day_costs(line, "l_orderkey", "day", F.col("l_extendedprice"), F.col("l_quantity"))
+    """Cost per order and ship year. A line is a day's plan in JSON; its quantity is the number of people."""
+    plan = F.to_json(F.struct(F.col("l_quantity").cast("int").alias("people_number"), F.year("l_shipdate").alias("day"),
+                              F.lit("-").alias("dinner"), F.col("l_returnflag").alias("lunch")))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", day_plan(plan).alias("plan"))
+    items = line.select("l_orderkey", "l_extendedprice", "plan.*")
+    return day_costs(items, "l_orderkey", "day", F.col("l_extendedprice"), F.col("people_number"))
 
 
 QUERIES = {

@@ -76,6 +76,6 @@ def first_rows(df: DataFrame, order: Sequence[str | Column], samples: int) -> Da
 
 def profile(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Row count, column names and the first record as JSON."""
-    first = F.min_by(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), F.struct(*order))
-    return df.agg(F.count("*").alias("rows"), first.alias("first_record")).withColumn(
-        "columns", F.lit(",".join(df.columns)))
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order))
+    return df.agg(F.count("*").alias("rows"), first.alias("first")).select(
+        "rows", F.to_json("first").alias("first_record"), F.lit(",".join(df.columns)).alias("columns"))
