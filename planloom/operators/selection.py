@@ -65,12 +65,14 @@ def pack(df: DataFrame, shard: str, order: Sequence[str], tokens: Column, max_le
     sized = df.select(shard, *order, tokens.alias("_tokens")).withColumn("_n", F.size("_tokens"))
     seq = arrange(sized.where("_n > 0"), [shard], order, measure=df, max_rows=max_rows)
     seq = seq.running(_from=total(F.col("_n"), inclusive=False))
-    last = F.floor((F.col("_from") + F.col("_n") - 1) / max_len)
-    pieces = seq.rows().withColumn("seq", F.explode(F.sequence(F.floor(F.col("_from") / max_len), last)))
-    first = F.greatest(F.lit(0).cast("long"), F.col("seq") * max_len - F.col("_from"))
-    until = F.least(F.col("_n").cast("long"), (F.col("seq") + 1) * max_len - F.col("_from"))
-    piece = F.slice("_tokens", (first + 1).cast("int"), (until - first).cast("int"))
-    parts = pieces.select(shard, "seq", "_from", piece.alias("piece"))
+    begin, size = F.col("_from"), F.col("_n").cast("long")
+    def piece(at: Column) -> Column:
+        first = F.greatest(F.lit(0).cast("long"), at * max_len - begin)
+        until = F.least(size, (at + 1) * max_len - begin)
+        return F.struct(at.alias("seq"), F.slice("_tokens", (first + 1).cast("int"), (until - first).cast("int")).alias("piece"))
+    touched = F.sequence(F.floor(begin / max_len), F.floor((begin + size - 1) / max_len))
+    # cut within the row, so that the explode does not copy the whole token list per piece
+    parts = seq.rows().select(shard, "_from", F.inline(F.transform(touched, piece)))
     ordered = F.array_sort(F.collect_list(F.struct("_from", "piece")))
     return (parts.groupBy(shard, "seq").agg(ordered.alias("parts"), F.count("*").alias("rows"))
             .select(shard, "seq", F.array_join(F.flatten(F.transform("parts", lambda p: p["piece"])), " ").alias("text"),
