@@ -8,28 +8,31 @@ from planloom.functions.clock import slot
 from planloom.operators.score import model_comparison, paired, solve_rate
 from planloom.plans.tables import table
 
-KEY = F.col("o_orderkey")
 MODEL_A, MODEL_B = "pred_5shot_a", "pred_5shot_b_1.0"
 
 
+def key() -> Column:
+    return F.col("o_orderkey")
+
+
 def _proposal(hour: Column) -> Column:
     day = F.element_at(F.array(*map(F.lit, ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday"))),
-                       (KEY % 5 + 1).cast("int"))
+                       (key() % 5 + 1).cast("int"))
     minute = F.when(F.col("o_custkey") % 2 == 0, ":00").otherwise(":30")
     return F.concat(F.lit("Here is the proposed time: "), day, F.lit(", "), hour.cast("string"), minute, F.lit(" - "),
                     (hour + 1).cast("string"), minute, F.lit(" "))
 
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hour = 9 + KEY % 7
-    lost = KEY % 77 == 0
+    hour = 9 + key() % 7
+    lost = key() % 77 == 0
     none = F.lit("No time works for everyone. \n")
     return table(spark, sf_dir, "orders").select(
-        KEY.alias("id"), (2 + F.col("o_custkey") % 6).cast("string").alias("num_people"),
-        (1 + KEY % 12).cast("string").alias("num_days"),
+        key().alias("id"), (2 + F.col("o_custkey") % 6).cast("string").alias("num_people"),
+        (1 + key() % 12).cast("string").alias("num_days"),
         F.when(lost, none).otherwise(_proposal(hour)).alias("golden_plan"),
-        F.when(lost | (KEY % 11 == 0), none).when(KEY % 3 == 0, _proposal(hour + 1)).otherwise(_proposal(hour)).alias(MODEL_A),
-        F.when(lost, none).otherwise(F.concat(F.lit("SOLUTION: "), F.when(KEY % 4 == 0, _proposal(hour + 2)).otherwise(
+        F.when(lost | (key() % 11 == 0), none).when(key() % 3 == 0, _proposal(hour + 1)).otherwise(_proposal(hour)).alias(MODEL_A),
+        F.when(lost, none).otherwise(F.concat(F.lit("SOLUTION: "), F.when(key() % 4 == 0, _proposal(hour + 2)).otherwise(
             _proposal(hour)))).alias(MODEL_B))
 
 

@@ -18,7 +18,10 @@ from planloom.operators.score import SAMPLES_PER_SIZE, accuracy_by_size, in_size
 from planloom.plans.tables import table
 
 VISIT_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
-S = F.col("l_suppkey")
+
+
+def s() -> Column:
+    return F.col("l_suppkey")
 
 
 def distance_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +64,7 @@ def visits(spark: SparkSession, sf_dir: str, max_rows: int = MAX_GROUP_ROWS,
     df = (line.select("l_orderkey", *VISIT_ORDER).join(person, F.col("l_suppkey") == F.col("s_suppkey"))
           .join(start, F.col("l_orderkey") == F.col("o_orderkey")).drop("s_suppkey", "o_orderkey"))
     if lookup:
-        df = df.withColumn("person", F.when(S % 7 == 0, "Nobody").otherwise(F.col("name"))).drop("name")
+        df = df.withColumn("person", F.when(s() % 7 == 0, "Nobody").otherwise(F.col("name"))).drop("name")
         df = with_people(df, people(spark, sf_dir).drop("s_suppkey", "s_nationkey"))
     seq = arrange(df.withColumnRenamed("l_orderkey", "pid"), ["pid"], VISIT_ORDER,
                   measure=line.select(F.col("l_orderkey").alias("pid")), max_rows=max_rows)
@@ -71,13 +74,13 @@ def visits(spark: SparkSession, sf_dir: str, max_rows: int = MAX_GROUP_ROWS,
 def _sentences(golden: bool) -> Column:
     """The visit's sentences with their positions."""
     place = F.concat(F.lit("NATION_"), (F.col("s_nationkey") if golden else F.when(
-        S % 13 == 4, (F.col("s_nationkey") + 1) % 25).otherwise(F.col("s_nationkey"))).cast("string"))
+        s() % 13 == 4, (F.col("s_nationkey") + 1) % 25).otherwise(F.col("s_nationkey"))).cast("string"))
     verb, name = F.lit("You travel to "), F.col("name")
     if not golden:
-        verb = F.when(S % 13 == 2, "You fly to ").when(S % 13 == 3, "You travel ").otherwise(verb)
-        name = F.when(S % 13 == 1, "Nobody").otherwise(name)
+        verb = F.when(s() % 13 == 2, "You fly to ").when(s() % 13 == 3, "You travel ").otherwise(verb)
+        name = F.when(s() % 13 == 1, "Nobody").otherwise(name)
     k = F.col("k")
-    until = clock_text(540 + 70 * k + S % 60)
+    until = clock_text(540 + 70 * k + s() % 60)
     def row(pos: Column, text: Column) -> Column:
         return F.struct(F.lit("golden" if golden else "pred").alias("variant"), pos.alias("pos"), text.alias("text"))
     travel = row(3 * k, F.concat(verb, place, F.lit(" in 10 minutes")))
@@ -151,8 +154,8 @@ def structured_steps(spark: SparkSession, sf_dir: str, max_rows: int = MAX_GROUP
     seq = visits(spark, sf_dir, max_rows, lookup=True)
     k = F.col("k")
     return seq.derive(seq.df.withColumns({
-        "pos": k + 1, "location": F.when(S % 9 == 0, F.lit("")).otherwise(F.col("s_place")),
-        "start_at": 540 + 10 * (S % 4) + 75 * k}), order=["pos"])
+        "pos": k + 1, "location": F.when(s() % 9 == 0, F.lit("")).otherwise(F.col("s_place")),
+        "start_at": 540 + 10 * (s() % 4) + 75 * k}), order=["pos"])
 
 
 def structured(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from planloom.functions.clock import clock_minutes, clock_text
 from planloom.functions.text import judged, normal_answer, plan_response, same_answer, truncate_scratchpad, drop_observations, mask
@@ -10,12 +10,14 @@ from planloom.operators.score import listed_budget
 from planloom.operators.trajectory import row_text
 from planloom.plans.tables import table
 
-K = F.get_json_object("props", "$.k").cast("int")
+
+def k_number() -> Column:
+    return F.get_json_object("props", "$.k").cast("int")
 
 
 def structured_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event properties as judgements: fenced, bare, in prose, or with a score of another type."""
-    k = K.cast("string")
+    k = k_number().cast("string")
     body = F.concat(F.lit('{"issues": ["late", {"k": '), k, F.lit('}], "overall_accuracy_score": '),
                     F.when(F.col("event_id") % 5 == 0, '"high"').otherwise(k), F.lit(', "relevance_score": null}'))
     text = (F.when(F.col("event_type") == "click", F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone.")))
@@ -34,7 +36,7 @@ def plan_json_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listed_plan_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans in one JSON text against a budget; every fifth is no list, some costs are no numbers."""
-    k = K.cast("string")
+    k = k_number().cast("string")
     step = lambda n, cost: F.concat(F.lit(f'{{"step": {n}, "parameters": {{"cost": '), cost, F.lit("}}"))
     plan = F.concat(F.lit("["), step(1, k), F.lit(", "), step(2, F.lit('"free"')), F.lit(", "),
                     step(3, F.concat(F.lit('"'), k, F.lit('.5"'))), F.lit(', {"step": 4}]'))
