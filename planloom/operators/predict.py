@@ -37,9 +37,15 @@ def _answers(prompt: Column, responder: Responder) -> Column:
     return F.pandas_udf(ask_batch, T.StringType()).asNondeterministic()(prompt)
 
 
-def with_predictions(df: DataFrame, prompt: str, responder: Responder, out: str) -> DataFrame:
-    """Append answers. Rows without a prompt get an error answer; other columns and types stay."""
+def with_predictions(df: DataFrame, prompt: str, responder: Responder, out: str,
+                     drop_missing: bool = False) -> DataFrame:
+    """Append answers; other columns and types stay.
+
+    Rows without a prompt get an error answer, or are left out with ``drop_missing`` (reasoning rows).
+    """
     text = F.col(f"`{prompt}`")
+    if drop_missing:
+        df = df.where(text.isNotNull() & (text != ""))
     usable = F.when(text != "", text)
     answer = F.when(usable.isNull(), MISSING_PROMPT).otherwise(_answers(usable, responder))
     kind = df.schema[out].dataType if out in df.columns else T.StringType()
@@ -64,8 +70,8 @@ def with_retries(df: DataFrame, prompt: str, responder: Responder, out: str, att
 
 def two_stages(df: DataFrame, prompt: str, first: Responder, second: Responder,
                between: str = "information_and_constraints", out: str = "step_by_step_plan") -> DataFrame:
-    """Feed the answers of one responder to another; both columns stay."""
-    return with_predictions(with_predictions(df, prompt, first, between), between, second, out)
+    """Feed the answers of one responder to another; both columns stay. Rows without a prompt are left out."""
+    return with_predictions(with_predictions(df, prompt, first, between, drop_missing=True), between, second, out)
 
 
 def map_rows(df: DataFrame, function: Callable[[dict], dict], fields: str) -> DataFrame:

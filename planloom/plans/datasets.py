@@ -100,7 +100,7 @@ def predict_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = two_stages(_prompts(spark, sf_dir).where("prompt_5shot IS NOT NULL"), "prompt_5shot",
+    done = two_stages(_prompts(spark, sf_dir), "prompt_5shot",
                       lambda t: t[:10], lambda t: f"plan for {t}")
     return done.select("conv_id", "turn", "information_and_constraints", "step_by_step_plan")
 
