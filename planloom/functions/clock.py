@@ -52,7 +52,7 @@ def range_minutes(text: Column) -> Column:
 
 
 # The shape of a proposed slot.
-SLOT = r"([A-Za-z]+), ([0-9]+:[0-9]+) - ([0-9]+:[0-9]+)"
+SLOT = r"[A-Za-z]+, [0-9]+:[0-9]+ - [0-9]+:[0-9]+"
 
 
 def half_hours(text: Column) -> Column:
@@ -63,8 +63,11 @@ def half_hours(text: Column) -> Column:
 
 def slot(text: Column) -> Column:
     """First proposed slot in a text as (day, start, end); ('', -1, -1) if there is none."""
-    found = text.rlike(SLOT)
-    def bound(group: int) -> Column:
-        return F.when(found, half_hours(F.regexp_extract(text, SLOT, group))).otherwise(F.lit(-1.0))
-    return F.struct(F.regexp_extract(text, SLOT, 1).alias("day"),
-                    bound(2).alias("start_hour"), bound(3).alias("end_hour"))
+    def read(found: Column) -> Column:
+        hours = F.substring_index(found, ", ", -1)
+        some = F.struct(F.substring_index(found, ",", 1).alias("day"),
+                        half_hours(F.substring_index(hours, " - ", 1)).alias("start_hour"),
+                        half_hours(F.substring_index(hours, " - ", -1)).alias("end_hour"))
+        none = F.struct(F.lit("").alias("day"), F.lit(-1.0).alias("start_hour"), F.lit(-1.0).alias("end_hour"))
+        return F.when(found == "", none).otherwise(some)
+    return let(F.regexp_extract(text, SLOT, 0), read)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from planloom.functions.clock import slot
 from planloom.operators.score import model_comparison, paired, solve_rate
 from planloom.plans.tables import table
+from planloom.session import spread
 
 MODEL_A, MODEL_B = "pred_5shot_a", "pred_5shot_b_1.0"
 
@@ -27,7 +28,7 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = 9 + key() % 7
     lost = key() % 77 == 0
     none = F.lit("No time works for everyone. \n")
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select(
         key().alias("id"), (2 + F.col("o_custkey") % 6).cast("string").alias("num_people"),
         (1 + key() % 12).cast("string").alias("num_days"),
         F.when(lost, none).otherwise(_proposal(hour)).alias("golden_plan"),
