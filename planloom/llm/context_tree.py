@@ -26,7 +26,7 @@ from planloom.llm.packing import U64, buffer_of, column, hashes_of, mixed, pack,
 from planloom.session import staged
 
 DEPTH = 5
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
 TREE_BUCKETS = 256
 END = 255
@@ -56,8 +56,8 @@ def string_keys(offsets: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarra
     if DEPTH % 2:
         key = key << 8 | stream[:full - DEPTH]
     key = key << 8 | stream[DEPTH:]
-    owner = np.repeat(np.arange(n), lens + 1)
-    place = np.arange(len(owner)) + (DEPTH - 1) * owner
+    owner = np.repeat(np.arange(n, dtype=np.int32), lens + 1)
+    place = np.arange(len(owner)) + (DEPTH - 1) * owner.astype(np.int64)
     return key[place], owner
 
 
@@ -189,9 +189,13 @@ def _unpacked_keys(raw: np.ndarray) -> np.ndarray:
 
 
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values in their order of appearance, and the index of each."""
+    """Distinct values in ascending order (packed, they compress), and the index of each."""
     coded = pa.array(key).dictionary_encode()
-    return np.asarray(coded.dictionary), np.asarray(coded.indices)
+    found = np.asarray(coded.dictionary)
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return found[order], rank[np.asarray(coded.indices)]
 
 
 def _tree_bucket(key: np.ndarray) -> np.ndarray:
@@ -209,13 +213,13 @@ def _counted(table: pa.Table, train: np.ndarray, buckets: int) -> Iterator[pa.Ta
     distinct, index = _distinct(key)
     count = np.bincount(index[train[owner]], minlength=len(distinct))
     bucket = _tree_bucket(distinct)
-    yield _kind(0, asked(0, bucket, TREE_BUCKETS, lambda at: pack(key=_packed_keys(distinct[at]), n=count[at])))
+    yield _kind(0, asked(0, bucket, TREE_BUCKETS, lambda at: pack(key=_packed_keys(distinct[at]), n=count[at].astype(np.uint32))))
     first, words, at = words_of(offsets, data.lower())
     names = hashes_of(words)
     of = np.repeat(np.arange(len(train)), np.diff(first))
     count = np.bincount(at[train[of]], minlength=len(words))
     names, count = names[count > 0], count[count > 0]
-    yield _kind(1, asked(0, _bucket(names, buckets), buckets, lambda at: pack(key=names[at], n=count[at])))
+    yield _kind(1, asked(0, _bucket(names, buckets), buckets, lambda at: pack(key=names[at], n=count[at].astype(np.uint32))))
 
 
 def _kind(number: int, questions: pa.Table) -> pa.Table:
@@ -228,7 +232,7 @@ _COUNTED = "_batch int, _bucket int, payload binary, _round int"
 def _merged(blobs: list[bytes], strings: bool) -> tuple[np.ndarray, np.ndarray]:
     parts = [unpack(b) for b in blobs]
     key = np.concatenate([_unpacked_keys(p["key"]) if strings else p["key"] for p in parts])
-    return _summed(key, np.concatenate([p["n"] for p in parts]))
+    return _summed(key, np.concatenate([p["n"] for p in parts]).astype(np.int64))
 
 
 class Trained:

@@ -78,10 +78,12 @@ def rolled(values: np.ndarray, width: int, step: int = _STEP) -> np.ndarray:
     """Polynomial hash (mod 2**64) of each run of ``width`` values, by doubling; mixed."""
     if len(values) < width:
         return np.zeros(0, U64)
-    levels, size = {1: values.astype(U64)}, 1
-    while size * 2 <= width:
-        h = levels[size]
-        levels[size * 2] = h[:-size] + U64(pow(step, size, 1 << 64)) * h[size:]
+    h, levels, size = values.astype(U64), {}, 1
+    while size <= width:
+        if width & size:
+            levels[size] = h
+        if size * 2 <= width:
+            h = h[:-size] + U64(pow(step, size, 1 << 64)) * h[size:]
         size *= 2
     out, done, n = None, 0, len(values) - width + 1
     for size in sorted(levels, reverse=True):

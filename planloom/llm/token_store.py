@@ -33,7 +33,7 @@ from planloom.session import scratch_path, staged
 END_ID = 2
 SHARD_BYTES = 16 << 20
 BUCKET_KEYS = 4096
-MEMO_CHUNKS = 1_000_000
+MEMO_CHUNKS = 600_000
 _HEAD = "<qI"
 _HEAD_BYTES = struct.calcsize(_HEAD)
 _NULL = 1 << 31
