@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from planloom.functions.clock import BLANK, strip
 from planloom.functions.let import let
+from planloom.functions.whole import whole_json
 
 # Words that answer matching ignores.
 IGNORED_WORDS = ("a", "an", "the", "usd")
@@ -115,7 +116,7 @@ SCORES = ("overall_accuracy_score", "target_audience_score", "relevance_score")
 
 def judged(text: Column) -> Column:
     """Issues and scores of a judge's response; the empty default if it holds no such object."""
-    data = F.try_parse_json(_response_json(text))
+    data = whole_json(_response_json(text))
     issues = F.try_variant_get(data, "$.issues", "array<variant>")
     listed = F.startswith(F.schema_of_variant(F.try_variant_get(data, "$.issues", "variant")), F.lit("ARRAY"))
     checks = [_score(data, name) for name in SCORES]
@@ -131,7 +132,7 @@ def judged(text: Column) -> Column:
 
 def plan_response(text: Column) -> Column:
     """A response as plan JSON with a status; a text that is no JSON gives an error with its message."""
-    plan = F.try_parse_json(text)
+    plan = whole_json(text)
     return F.struct(
         F.when(plan.isNotNull(), F.to_json(plan)).alias("plan"),
         F.when(plan.isNotNull(), "success").otherwise("error").alias("status"),

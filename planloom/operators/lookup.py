@@ -43,8 +43,9 @@ def stated_predicates(text: str) -> dict[str, tuple[str, str]]:
     return found
 
 
-def predicate(statements: Mapping[str, tuple[str, str]]) -> Column:
-    """The statements as one condition that Spark can push into the scan."""
+def predicate(statements: Mapping[str, tuple[str, str]], df: DataFrame | None = None) -> Column:
+    """The statements as one condition that Spark can push into the scan; the columns' types are those of ``df``."""
+    types = None if df is None else dict(df.dtypes)
     compare = {"<=": operator.le, ">=": operator.ge, "=": operator.eq}
     def one(name: str, op: str, value: str) -> Column:
         column = F.col(name)
@@ -52,11 +53,9 @@ def predicate(statements: Mapping[str, tuple[str, str]]) -> Column:
             return F.contains(column, F.lit(value))
         if op == "~contains":
             return ~F.contains(column, F.lit(value))
-        try:
-            literal: float | str = float(value)
-        except ValueError:
-            literal = value
-        return compare[op](column, F.lit(literal))
+        # a number is compared with what the column reads as a number, so that no value stops the job; text columns compare as text
+        number = value.replace(".", "", 1).lstrip("+-").isdigit() and (types is None or types.get(name) != "string")
+        return compare[op](column, F.lit(float(value))) if number else compare[op](column.cast("string"), F.lit(value))
     return reduce(operator.and_, [one(name, *rest) for name, rest in statements.items()], F.lit(True))
 
 

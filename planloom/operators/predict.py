@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from planloom.functions.clock import strip
 from planloom.functions.plan_text import ERROR
@@ -71,24 +73,28 @@ def with_retries(df: DataFrame, prompt: str, responder: Responder, out: str, att
 def two_stages(df: DataFrame, prompt: str, first: Responder, second: Responder,
                between: str = "information_and_constraints", out: str = "step_by_step_plan") -> DataFrame:
     """Feed the answers of one responder to another; both columns stay. Rows without a prompt are left out."""
-    return with_predictions(with_predictions(df, prompt, first, between, drop_missing=True), between, second, out)
+    # written, so that a later action or a lost task does not ask the first responder again
+    return with_predictions(staged(with_predictions(df, prompt, first, between, drop_missing=True), "first_stage"), between, second, out)
 
 
-def map_rows(df: DataFrame, function: Callable[[dict], dict], fields: str) -> DataFrame:
+def map_rows(df: DataFrame, function: Callable[[dict], dict], fields: str, needed: Sequence[str] = ()) -> DataFrame:
     """Add the fields that ``function`` returns for each row (``fields`` as DDL), replacing equal names.
 
-    For what column expressions cannot say; rows go through Python in Arrow batches.
+    For what column expressions cannot say. Only the ``needed`` columns (all, if none are named) go to Python, in Arrow batches with
+    their exact values, and only the new fields come back: the columns of ``df`` stay on the JVM as they are.
     """
     added = T.StructType.fromDDL(fields)
-    kept = [f for f in df.schema.fields if f.name not in added.names]
-    names = [f.name for f in kept] + added.names
+    names = list(needed or df.columns)
+    kind = pa.struct(list(to_arrow_schema(added)))
 
-    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [row | function(row) for row in batch.to_dict("records")]
-            yield pd.DataFrame(rows, columns=names)
+    @F.arrow_udf(added)
+    def mapped(rows: pa.Array) -> pa.Array:
+        found = [function(row) for row in rows.to_pylist()]
+        return pa.array([{name: row.get(name) for name in added.names} for row in found], kind)
 
-    return df.mapInPandas(mapped, T.StructType([*kept, *added.fields]))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in added.names]
+    made = df.withColumn("_made", mapped(F.struct(*[F.col(f"`{c}`") for c in names])))
+    return made.select(*kept, *[F.col("_made")[name].alias(name) for name in added.names])
 
 
 def is_error(answer: Column) -> Column:

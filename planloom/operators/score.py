@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from planloom.functions.clock import slot
 from planloom.functions.let import let
+from planloom.functions.whole import whole_json
 
-# Size of the groups that the fixed-denominator report assumes, and the largest group.
+# Fixed value: size of the groups that the fixed-denominator report assumes.
 SAMPLES_PER_SIZE = 100
-MAX_PEOPLE = 10
+# Money adds up exactly, so that its sum does not depend on the order of rows.
+MONEY = "decimal(28,4)"
 
 
 def rate(hits: Column, of: Column) -> Column:
@@ -38,14 +40,15 @@ def solve_rate(df: DataFrame, prediction: str, golden: str, by: Sequence[str] =
     return out.orderBy(*by) if by else out
 
 
-def in_size_range(size: Column, largest: int = MAX_PEOPLE) -> Column:
-    """True where the number of people is a whole number from 1 to ``largest``."""
-    return F.coalesce(size.try_cast("int").between(1, largest), F.lit(False))
+def in_size_range(size: Column, largest: int | None = None) -> Column:
+    """True where the number of people is a whole number from 1 on, up to ``largest`` if one is given."""
+    number = size.try_cast("int")
+    return F.coalesce(number >= 1 if largest is None else number.between(1, largest), F.lit(False))
 
 
-def accuracy_by_size(df: DataFrame, size: str, correct: str, largest: int = MAX_PEOPLE,
+def accuracy_by_size(df: DataFrame, size: str, correct: str, largest: int | None = None,
                      denominator: int | None = None, counted: Column | None = None) -> DataFrame:
-    """Accuracy for every size from 1 to ``largest``, also for sizes without records (null rate).
+    """Accuracy for every size that occurs, or for every size from 1 to ``largest``, also without records (null rate).
 
     Divides by the records of the size, or by a fixed ``denominator``. Only ``counted`` records count; naming
     them here instead of filtering spares the evaluation of a costly condition a second time.
@@ -54,8 +57,10 @@ def accuracy_by_size(df: DataFrame, size: str, correct: str, largest: int = MAX_
     size_n = F.col(size).try_cast("int")
     counts = (df.where(in_size_range(F.col(size), largest)).groupBy(size_n.alias("n"))
               .agg(F.count_if(counted).alias("evaluated"), F.count_if(counted & F.col(correct)).alias("correct")))
-    sizes = df.sparkSession.range(1, largest + 1).select(F.col("id").cast("int").alias("n"))
-    out = sizes.join(counts, "n", "left").na.fill(0, ["evaluated", "correct"])
+    out = counts
+    if largest is not None:
+        sizes = df.sparkSession.range(1, largest + 1).select(F.col("id").cast("int").alias("n"))
+        out = sizes.join(counts, "n", "left").na.fill(0, ["evaluated", "correct"])
     of = F.col("evaluated") if denominator is None else F.lit(denominator)
     return out.withColumn("accuracy", rate(F.col("correct"), of)).orderBy("n")
 
@@ -88,18 +93,19 @@ def model_comparison(df: DataFrame, id_col: str, golden: str, predictions: Seque
 
 def within_budget(steps: DataFrame, plan: str, cost: Column, budget: Column) -> DataFrame:
     """Sum of the numeric step costs of each plan against its budget; other costs are ignored."""
-    amount = F.round(F.coalesce(F.sum(cost.try_cast("double")), F.lit(0.0)), 2)
-    return steps.groupBy(plan).agg(amount.alias("total_cost"), F.max(budget).alias("budget")).withColumn(
-        "within", F.col("total_cost") <= F.col("budget"))
+    amount = F.coalesce(F.sum(cost.try_cast(MONEY)), F.lit(0).cast(MONEY))
+    return steps.groupBy(plan).agg(amount.alias("total_cost"), F.max(budget.cast(MONEY)).alias("budget")).withColumn(
+        "within", F.col("total_cost") <= F.col("budget")).withColumn("total_cost", F.col("total_cost").cast("double"))
 
 
 def listed_budget(plan_json: Column, budget: Column) -> Column:
     """The same for a plan in one JSON text: a list of steps with ``parameters.cost``; no list gives false."""
-    steps = F.try_variant_get(F.try_parse_json(plan_json), "$", "array<variant>")
-    listed = F.startswith(F.schema_of_variant(F.try_parse_json(plan_json)), F.lit("ARRAY"))
-    cost = lambda s: F.coalesce(F.try_variant_get(s, "$.parameters.cost", "string").try_cast("double"), F.lit(0.0))
-    spent = F.aggregate(steps, F.lit(0.0), lambda total, s: total + cost(s))
-    return F.when(listed, spent <= budget).otherwise(False)
+    plan = whole_json(plan_json)
+    steps = F.try_variant_get(plan, "$", "array<variant>")
+    listed = F.startswith(F.schema_of_variant(plan), F.lit("ARRAY"))
+    cost = lambda s: F.coalesce(F.try_variant_get(s, "$.parameters.cost", "string").try_cast(MONEY), F.lit(0).cast(MONEY))
+    spent = F.aggregate(steps, F.lit(0).cast(MONEY), lambda total, s: (total + cost(s)).cast(MONEY))
+    return F.when(listed, spent <= budget.cast(MONEY)).otherwise(False)
 
 
 # The fields of a day of a plan; "-" stands for not needed.
@@ -117,4 +123,4 @@ def day_plan(text: Column) -> Column:
 def day_costs(items: DataFrame, plan: str, day: str, price: Column, quantity: Column) -> DataFrame:
     """Cost of a plan's items per day: price times number of people."""
     return items.groupBy(plan, day).agg(
-        F.count("*").alias("items"), F.round(F.sum(price * quantity), 2).alias("cost"))
+        F.count("*").alias("items"), F.round(F.sum(price.cast(MONEY) * quantity), 2).cast("double").alias("cost"))

@@ -106,10 +106,12 @@ def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mapped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row function in Python that adds two fields."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    done = map_rows(turns, lambda r: {"label": f"{r['role']}#{r['turn']}", "chars": len(r["text"])}, "label string, chars int")
-    return done.select("conv_id", "turn", "label", "chars")
+    """A row function in Python that adds two fields; a nullable number that no double holds stays as it is."""
+    big = F.when(F.col("turn") % 2 == 0, F.lit(9007199254740993) + F.col("conv_id"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", big.alias("big"))
+    vowels = lambda r: {"label": f"{r['role']}#{r['turn']}", "vowels": sum(c in "aeiou" for c in r["text"])}
+    done = map_rows(turns, vowels, "label string, vowels int", needed=["role", "turn", "text"])
+    return done.select("conv_id", "turn", "big", "label", "vowels")
 
 
 def judged_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +147,8 @@ _PROMPTS = """WITH prompts AS (SELECT conv_id, turn, CASE WHEN turn <> 2 THEN re
     ELSE trim('answer to ' || substr(p, 1, 20)) END AS answer FROM prompts)"""
 
 SQL = {
-    "map_rows": """SELECT conv_id, turn, role || '#' || turn AS label, CAST(length(text) AS INTEGER) AS chars FROM conversations""",
+    "map_rows": """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 9007199254740993 + conv_id END AS big, role || '#' || turn AS label,
+        CAST(length(text) - length(translate(text, 'aeiou', '')) AS INTEGER) AS vowels FROM conversations""",
     "judged_saved": """SELECT event_id, CASE WHEN event_type = 'view' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END
         AS relevance_score, event_type = 'view' AS accepted, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS issues FROM events""",
     "keyed_json_roundtrip": """

@@ -14,7 +14,8 @@ STATED = "p_size<=20, p_retailprice>=905, p_name contains ring, p_type~contains
 
 
 def predicate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where(predicate(stated_predicates(STATED)))
+    part = table(spark, sf_dir, "part")
+    part = part.where(predicate(stated_predicates(STATED), part))
     return part.select("p_partkey", "p_name", "p_type", "p_size")
 
 

@@ -27,7 +27,8 @@ def s() -> Column:
 def distance_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per nation with its distances as a nested map; a distance of 7 keys is left out."""
     nation = table(spark, sf_dir, "nation")
-    others = F.filter(F.sequence(F.lit(0), F.lit(24)), lambda b: F.abs(F.col("n_nationkey") - b) != 7)
+    last = nation.agg(F.max("n_nationkey").cast("int")).first()[0]
+    others = F.filter(F.sequence(F.lit(0), F.lit(last or 0)), lambda b: F.abs(F.col("n_nationkey") - b) != 7)
     return nation.select(F.col("n_name").alias("origin"), F.map_from_entries(F.transform(
         others, lambda b: F.struct(F.concat(F.lit("NATION_"), b.cast("string")),
                                    5 + F.abs(F.col("n_nationkey") - b)))).alias("to"))
@@ -298,7 +299,7 @@ _BY_SIZE = """, counts AS (SELECT num_people AS n, count(*) AS evaluated,
     count(*) FILTER (pred_score = golden_score) AS correct FROM results GROUP BY num_people)
 SELECT CAST(r.n AS INTEGER) AS n, coalesce(evaluated, 0) AS evaluated, coalesce(correct, 0) AS correct,
        {rate} AS accuracy
-FROM range(1, 11) r(n) LEFT JOIN counts c ON r.n = c.n ORDER BY r.n"""
+FROM (SELECT DISTINCT num_people AS n FROM results WHERE num_people >= 1) r LEFT JOIN counts c ON r.n = c.n ORDER BY r.n"""
 
 _SCORES = """ SELECT pid, CAST(count(*) FILTER (scored) AS BIGINT) AS score, min(pos) FILTER (error = 1) AS first_error,
   CAST(max(now) FILTER (alive) AS BIGINT) AS last_now FROM replayed GROUP BY pid"""

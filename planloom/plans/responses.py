@@ -22,6 +22,7 @@ def structured_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("event_id") % 5 == 0, '"high"').otherwise(k), F.lit(', "relevance_score": null}'))
     text = (F.when(F.col("event_type") == "click", F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone.")))
             .when(F.col("event_type") == "view", F.concat(F.lit("  "), body, F.lit("\n")))
+            .when(F.col("event_type") == "signup", F.concat(body, F.lit(" "), body))
             .otherwise(F.concat(F.lit("The result is "), body)))
     found = table(spark, sf_dir, "events").select("event_id", judged(text).alias("j"))
     return found.select("event_id", F.size("j.issues").alias("issues"), F.get("j.issues", F.lit(1)).alias("second_issue"),
@@ -29,7 +30,8 @@ def structured_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_json_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.when(F.col("event_type") == "error", F.concat(F.lit("Sorry: "), F.col("props"))).otherwise(F.col("props"))
+    text = (F.when(F.col("event_type") == "error", F.concat(F.lit("Sorry: "), F.col("props")))
+            .when(F.col("event_type") == "signup", F.concat(F.col("props"), F.lit(" is the plan"))).otherwise(F.col("props")))
     found = table(spark, sf_dir, "events").select("event_id", plan_response(text).alias("r"))
     return found.select("event_id", "r.status", "r.message", F.get_json_object("r.plan", "$.k").alias("k"))
 
@@ -124,9 +126,9 @@ SQL = {
         FROM events) SELECT event_id, CASE WHEN ok THEN 2 ELSE 0 END AS issues,
         CASE WHEN ok THEN '{{"k":' || k || '}}' END AS second_issue, CASE WHEN ok THEN CAST(k AS BIGINT) END AS overall_accuracy_score,
         CAST(NULL AS BIGINT) AS target_audience_score, CAST(NULL AS BIGINT) AS relevance_score FROM e""",
-    "plan_json_status": """SELECT event_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status,
-        CASE WHEN event_type = 'error' THEN 'Sorry: ' || props END AS message,
-        CASE WHEN event_type <> 'error' THEN json_extract_string(props, '$.k') END AS k FROM events""",
+    "plan_json_status": """SELECT event_id, CASE WHEN event_type IN ('error', 'signup') THEN 'error' ELSE 'success' END AS status,
+        CASE event_type WHEN 'error' THEN 'Sorry: ' || props WHEN 'signup' THEN props || ' is the plan' END AS message,
+        CASE WHEN event_type NOT IN ('error', 'signup') THEN json_extract_string(props, '$.k') END AS k FROM events""",
     "listed_plan_budget": f"""SELECT event_type, event_id % 5 <> 0 AND {_K} + ({_K} + 0.5) <= 100.0 AS within,
         count(*) AS plans FROM events GROUP BY 1, 2""",
     "answer_exact_match": f"""WITH d AS (SELECT lang, {_normal("text")} AS a, {_normal(

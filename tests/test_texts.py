@@ -110,7 +110,8 @@ def test_scored(spark):
              ("early", "1", *RECORD, "You travel to Hill in 20 minutes. You meet Ann for 120 minutes."),
              ("error", "1", *RECORD, "ERROR: quota"), ("null", "1", *RECORD, None), ("many", "11", *RECORD, "x"), ("size", "n", *RECORD, "x")]
     df = spark.createDataFrame(plans, "id string, num_people string, constraints string, dist_matrix string, golden_plan string, p string")
-    got = {r["id"]: r for r in scored(df, "p").collect()}
+    got = {r["id"]: r for r in scored(df, "p", largest=10).collect()}
+    assert scored(df, "p").where("id = 'many'").first()["usable"]
     assert {k: (r["usable"], r["golden_score"], r["pred_score"], r["correct"]) for k, r in got.items()} == {
         "same": (True, 1, 1, True), "early": (True, 1, 0, False), "error": (True, 1, 0, False), "null": (True, 1, 0, False),
         "many": (False, None, None, False), "size": (False, None, None, False)}
