@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from planloom.llm.dealing import ASKED, ASKED_ARROW, answer, ask, asked, by_bucket, dealt, pieces, text_bytes
-from planloom.llm.packing import U64, buffer_of, column, hashes_of, mixed, pack, unpack, words_of
+from planloom.llm.packing import U64, buffer_of, column, hashes_of, mixed, pack, parts_of, unpack, words_of
 from planloom.session import staged
 
 DEPTH = 5
@@ -32,7 +32,7 @@ TREE_BUCKETS = 256
 END = 255
 _KEY_BITS = 8 * (DEPTH + 1)
 _TOP = 2  # depths below this are summed up over all buckets
-_CHUNK_BYTES = 8 << 20
+_CHUNK_BYTES = 6 << 20
 _LN2, _LOG10 = np.log(2.0), np.log(10.0)
 
 
@@ -57,7 +57,8 @@ def string_keys(offsets: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarra
         key = key << 8 | stream[:full - DEPTH]
     key = key << 8 | stream[DEPTH:]
     owner = np.repeat(np.arange(n, dtype=np.int32), lens + 1)
-    place = np.arange(len(owner)) + (DEPTH - 1) * owner.astype(np.int64)
+    place = np.arange(len(owner), dtype=np.int32) + (DEPTH - 1) * owner if full < 1 << 31 else (
+        np.arange(len(owner)) + (DEPTH - 1) * owner.astype(np.int64))
     return key[place], owner
 
 
@@ -250,11 +251,12 @@ def trained(docs: DataFrame, total: int) -> Trained:
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= _CHUNK_BYTES:
-                yield from flush(held)
-                held, size = [], 0
+            for part, n in parts_of(batch, 1, _CHUNK_BYTES):
+                if held and size + n > _CHUNK_BYTES:
+                    yield from flush(held)
+                    held, size = [], 0
+                held.append(part)
+                size += n
         if held:
             yield from flush(held)
 

@@ -112,6 +112,17 @@ def lowest(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return least, np.flatnonzero(sliding(padded, width, np.maximum) == h)
 
 
+def parts_of(batch: pa.RecordBatch, at: int, size: int) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Parts of a batch of at most about ``size`` bytes in column ``at`` (one row at least), with their bytes."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0)).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(lo, hi - lo), int(ends[hi - 1]) - before
+        lo = hi
+
+
 def in_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
     """Tables of whole groups of a stream that is sorted by ``key``, about ``rows`` rows each."""
     held: list[pa.RecordBatch] = []
