@@ -3,7 +3,8 @@
 Texts are read as lower-cased words, ASCII marks being white space. An item of ``m`` words may differ in ``floor(m * RATE)`` words (put in,
 left out or changed). Cut into one piece more than that, an item within its budget leaves one piece untouched: every occurrence has an
 exact hit of some piece. Pieces are found by the hash of their first words; a bit map of those hashes, of fixed size, keeps
-nearly all other words from the join with the pieces. Around each hit the distance decides, with words as letters.
+nearly all other words from the join with the pieces. A document with hits is kept once, whatever their number; around the diagonals
+of its hits with an item the distance decides, with words as letters.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from planloom.llm.packing import U64, buffer_of, column, hashes_of, rolled, words_of
+from planloom.llm.packing import U64, buffer_of, hashes_of, parts_of, rolled, words_of
 from planloom.session import staged
 
 RATE = 0.125
@@ -68,22 +69,19 @@ def distance(pattern: list[bytes], text: list[bytes]) -> tuple[int, int]:
 
 
 def _pieces(items: DataFrame, rate: float) -> DataFrame:
-    """One row per piece: the hash of its first words, and the item's words for the check."""
+    """One row per piece: the hash and number of its first words, and where it stands in its item."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
         for batch in batches:
-            rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = plain(text)
                 hashed = hashes_of(pa.array(words, pa.binary()))
+                rows = []
                 for first, n in item_pieces(words, rate):
                     width = min(n, ANCHOR_WORDS)
-                    anchor = int(rolled(hashed[first:first + width], width)[0].view(np.int64))
-                    rows.append((anchor, width, item, first, len(words), budget(len(words), rate), b" ".join(words)))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
-                                  ["anchor", "width", "item_id", "first", "words", "budget", "item"])
-    return items.select(F.col("item_id").cast("bigint"), "text").mapInArrow(
-        run, "anchor bigint, width int, item_id bigint, first int, words int, budget int, item binary")
+                    rows.append((int(rolled(hashed[first:first + width], width)[0].view(np.int64)), width, item, first))
+                yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["anchor", "width", "item_id", "first"])
+    return items.select(F.col("item_id").cast("bigint"), "text").mapInArrow(run, "anchor bigint, width int, item_id bigint, first int")
 
 
 def _bit_map(pieces: DataFrame) -> np.ndarray:
@@ -97,43 +95,51 @@ def _bit_map(pieces: DataFrame) -> np.ndarray:
     return out.view(U64)
 
 
-def _hits(docs: DataFrame, pieces: DataFrame, reach: int, widths: list[int]) -> DataFrame:
-    """Places in documents whose hash is in the map, with the words around: ``anchor, width, doc_id, at, around``."""
+_HITS = "array<struct<anchor:bigint,width:int,at:int>>"
+
+
+def _hits(docs: DataFrame, pieces: DataFrame, widths: list[int]) -> DataFrame:
+    """Documents with words whose hash is in the map: ``doc_id``, their words, and the places."""
     shared = docs.sparkSession.sparkContext.broadcast(_bit_map(pieces))
+    hit_kind = pa.list_(pa.struct([("anchor", pa.int64()), ("width", pa.int32()), ("at", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
-            ends = np.cumsum(np.asarray(pc.binary_length(texts)))
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CHUNK_BYTES)))
-                yield from found(batch.column(0).slice(at, to - at), texts.slice(at, to - at), bits)
-                at = to
+            for part, _ in parts_of(batch, 1, _CHUNK_BYTES):
+                yield from found(part.column(0), pc.fill_null(part.column(1), ""), bits)
 
     def found(ids: pa.Array, texts: pa.Array, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         offsets, data = buffer_of(pc.utf8_lower(texts))
         first, distinct, index = words_of(offsets, data.translate(_MARKS))
         hashed = hashes_of(distinct)[index] if len(index) else np.zeros(0, U64)
         owner = np.repeat(np.arange(len(ids)), np.diff(first))
+        hits: dict[int, list[dict]] = {}
         for width in widths:
             h = rolled(hashed, width)
             place = h >> U64(64 - MAP_BITS)
             hit = np.flatnonzero((bits[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1))
             hit = hit[owner[hit] == owner[hit + width - 1]]
-            if not len(hit):
-                continue
-            lo = np.maximum(first[owner[hit]], hit - reach)
-            hi = np.minimum(first[owner[hit] + 1], hit + reach)
-            around = [b" ".join(distinct.take(pa.array(index[a:b])).to_pylist()) for a, b in zip(lo.tolist(), hi.tolist())]
-            yield pa.record_batch([pa.array(h[hit].view(np.int64)), pa.array(np.full(len(hit), width, np.int32)),
-                                   ids.take(pa.array(owner[hit])), pa.array((hit - lo).astype(np.int32)),
-                                   pa.array((lo - first[owner[hit]]).astype(np.int64)), pa.array(around, pa.binary())],
-                                  ["anchor", "width", "doc_id", "at", "begin", "around"])
+            for doc, anchor, at in zip(owner[hit].tolist(), h[hit].view(np.int64).tolist(), (hit - first[owner[hit]]).tolist()):
+                hits.setdefault(doc, []).append({"anchor": anchor, "width": width, "at": at})
+        rows = sorted(hits)
+        words = [b" ".join(distinct.take(pa.array(index[first[i]:first[i + 1]])).to_pylist()) for i in rows]
+        yield pa.record_batch([ids.take(pa.array(rows, pa.int64())), pa.array(words, pa.binary()), pa.array([hits[i] for i in rows], hit_kind)],
+                              ["doc_id", "words", "hits"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, f"doc_id bigint, words binary, hits {_HITS}")
+
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "anchor bigint, width int, doc_id bigint, at int, begin bigint, around binary")
+def _spans(diagonals: list[int], words: int, most: int, size: int) -> list[tuple[int, int]]:
+    """Parts of a text of ``size`` words around the diagonals of hits, merged where they overlap."""
+    out: list[tuple[int, int]] = []
+    for d in sorted(diagonals):
+        lo, hi = max(0, d - most), min(size, d + words + most)
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        elif lo < hi:
+            out.append((lo, hi))
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
@@ -147,24 +153,29 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
     * Empty tables give no rows; other columns are not looked at.
     """
     pieces = staged(_pieces(items, rate), "pieces")
-    longest, most, widths = pieces.agg(F.max("words"), F.max("budget"), F.collect_set("width")).first()
-    found = _hits(docs, pieces, (longest or 0) + (most or 0), sorted(widths))
-    near = found.join(pieces, ["anchor", "width"])
+    widths = pieces.agg(F.collect_set("width")).first()[0]
+    found = staged(_hits(docs, pieces, sorted(widths)).withColumn("row", F.xxhash64("doc_id", "words")), "hits")
+    places = found.select("row", F.explode("hits").alias("hit")).select("row", "hit.*")
+    near = places.join(pieces, ["anchor", "width"]).groupBy("row", "item_id").agg(F.collect_set(F.col("at") - F.col("first")).alias("diagonals"))
+    texts = items.select(F.col("item_id").cast("bigint"), F.col("text").alias("item")).dropDuplicates()
+    held = found.select("row", "doc_id", "words").dropDuplicates(["row"])
+    pairs = near.join(held, "row").alias("n").join(texts.alias("t"), F.col("n.item_id").eqNullSafe(F.col("t.item_id"))).select(
+        "n.doc_id", "n.item_id", "n.words", "n.diagonals", "t.item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
         for batch in batches:
             rows = []
-            for doc, at, begin, around, item, first, m, most, text in zip(*(batch.column(i).to_pylist() for i in range(9))):
-                words = around.split()
-                lo = max(0, at - first - most)
-                best, end = distance(text.split(), words[lo:at - first + m + most])
-                if best <= most:
-                    rows.append((doc, item, best, most, begin + lo + end))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            for doc, item, words, diagonals, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                pattern, words = plain(text), words.split()
+                most = budget(len(pattern), rate)
+                for lo, hi in _spans(diagonals, len(pattern), most, len(words)):
+                    best, end = distance(pattern, words[lo:hi])
+                    if best <= most:
+                        rows.append((doc, item, best, most, lo + end))
             yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
                                   ["doc_id", "item_id", "distance", "budget", "end_word"])
 
-    checked = near.select("doc_id", "at", "begin", "around", "item_id", "first", "words", "budget", "item").mapInArrow(
-        run, "doc_id bigint, item_id bigint, distance int, budget int, end_word bigint")
+    checked = pairs.mapInArrow(run, "doc_id bigint, item_id bigint, distance int, budget int, end_word bigint")
     return checked.groupBy("doc_id", "item_id").agg(
         F.min(F.struct("distance", "end_word", "budget")).alias("best")).select("doc_id", "item_id", "best.distance", "best.budget", "best.end_word")
