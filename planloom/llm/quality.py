@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from planloom.llm.packing import U64, buffer_of, hashes_of, words_of
+from planloom.session import staged
 
 #: Bounds of the samples that the views are fitted on.
 LABELLED = 4000
@@ -189,12 +190,18 @@ def trained(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
         F.max(F.col("quality").cast("int")).alias("quality"))
     rows = _views(docs).where("doc_id is not null")
-    order = [F.xxhash64("doc_id"), F.xxhash64("text")]
-    text, meta, y = _sampled(rows.join(known, "doc_id").select(*rows.columns, "quality").orderBy(*order).limit(LABELLED))
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
+
+    def chosen(among: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # ids are chosen without their texts; at most ``most`` of them are sent to where the texts are
+        some = F.broadcast(staged(among.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "chosen"))
+        return _sampled(rows.join(some, "doc_id").select(*rows.columns, "quality").orderBy(
+            F.xxhash64("doc_id"), F.xxhash64("text")).limit(most))
+
+    text, meta, y = chosen(ids.join(known, "doc_id"), LABELLED)
     if len(set(y.tolist())) < 2:
         return None
-    others = rows.join(known, "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int"))
-    pool = _sampled(others.orderBy(*order).limit(UNLABELLED))
+    pool = chosen(ids.join(known, "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int")), UNLABELLED)
     spare = np.arange(len(y)) % 4 == 0
     if len(set(y[spare].tolist())) < 2 or len(set(y[~spare].tolist())) < 2:
         spare = np.ones(len(y), bool)  # too few to keep some apart
