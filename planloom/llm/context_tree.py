@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from planloom.llm.dealing import ASKED, ASKED_ARROW, answer, ask, asked, by_bucket, dealt, pieces, text_bytes
-from planloom.llm.packing import U64, buffer_of, column, hashes_of, mixed, pack, parts_of, unpack, words_of
+from planloom.llm.packing import U64, buffer_of, column, handed, hashes_of, mixed, pack, parts_of, unpack, words_of
 from planloom.session import staged
 
 DEPTH = 5
@@ -266,7 +266,7 @@ def trained(docs: DataFrame, total: int) -> Trained:
         for out in _counted(table, train, buckets):
             yield from out.combine_chunks().to_batches()
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = handed(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     counted = rows.mapInArrow(count, _COUNTED)
 
     def merge(table: pa.Table) -> pa.Table:

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from planloom.llm.packing import give_back, handed
+
 BATCH_BYTES = 16 << 20
 BUCKET_BYTES = 4 << 20
 ASKED = "_batch int, _bucket int, payload binary"
@@ -32,7 +34,7 @@ def pieces(total: int, size: int) -> int:
 
 def dealt(docs: DataFrame, batches: int) -> DataFrame:
     """``doc_id`` and ``text`` (bytes) by batch; the batch follows from the row, so a lost task finds it again."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = handed(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.withColumn("_batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int")).repartition(
         max(2, batches), "_batch")
 
@@ -68,11 +70,16 @@ def _answers_of(table: pa.Table) -> dict[int, dict[int, bytes]]:
 def ask(docs: DataFrame, answers: DataFrame | None, fn: Asker, schema: str) -> DataFrame:
     """Run ``fn(batch, its documents, answers so far by round and bucket)`` for every batch."""
     if answers is None:
-        return docs.groupBy("_batch").applyInArrow(lambda t: fn(t.column("_batch")[0].as_py(), t, {}), schema)
+        def alone(rows: pa.Table) -> pa.Table:
+            give_back()  # what the group before has left
+            return fn(rows.column("_batch")[0].as_py(), rows, {})
+
+        return docs.groupBy("_batch").applyInArrow(alone, schema)
 
     def both(rows: pa.Table, told: pa.Table) -> pa.Table:
         if not rows.num_rows:
             raise RuntimeError("answers to a batch without documents")
+        give_back()
         return fn(rows.column("_batch")[0].as_py(), rows, _answers_of(told))
 
     return docs.groupBy("_batch").cogroup(answers.groupBy("_batch")).applyInArrow(both, schema)
@@ -81,6 +88,7 @@ def ask(docs: DataFrame, answers: DataFrame | None, fn: Asker, schema: str) -> D
 def answer(questions: DataFrame, number: int, fn: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """Run ``fn`` for every bucket on what the batches ask; it returns one answer for each question, in their order."""
     def one(table: pa.Table) -> pa.Table:
+        give_back()
         order = np.argsort(np.asarray(table.column("_batch")), kind="stable")
         table = table.take(pa.array(order))
         told = fn(table.column("payload").to_pylist())

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from planloom.llm.packing import U64, buffer_of, hashes_of, parts_of, rolled, words_of
+from planloom.llm.packing import U64, buffer_of, handed, hashes_of, parts_of, rolled, tidy, words_of
 from planloom.session import staged
 
 RATE = 0.125
@@ -70,6 +70,7 @@ def distance(pattern: list[bytes], text: list[bytes]) -> tuple[int, int]:
 
 def _pieces(items: DataFrame, rate: float) -> DataFrame:
     """One row per piece: the hash and number of its first words, and where it stands in its item."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
         for batch in batches:
@@ -103,6 +104,7 @@ def _hits(docs: DataFrame, pieces: DataFrame, widths: list[int]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_bit_map(pieces))
     hit_kind = pa.list_(pa.struct([("anchor", pa.int64()), ("width", pa.int32()), ("at", pa.int32())]))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
@@ -127,7 +129,7 @@ def _hits(docs: DataFrame, pieces: DataFrame, widths: list[int]) -> DataFrame:
         yield pa.record_batch([ids.take(pa.array(rows, pa.int64())), pa.array(words, pa.binary()), pa.array([hits[i] for i in rows], hit_kind)],
                               ["doc_id", "words", "hits"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, f"doc_id bigint, words binary, hits {_HITS}")
+    return handed(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, f"doc_id bigint, words binary, hits {_HITS}")
 
 
 def _spans(diagonals: list[int], words: int, most: int, size: int) -> list[tuple[int, int]]:
@@ -162,6 +164,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
     pairs = near.join(held, "row").alias("n").join(texts.alias("t"), F.col("n.item_id").eqNullSafe(F.col("t.item_id"))).select(
         "n.doc_id", "n.item_id", "n.words", "n.diagonals", "t.item")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
         for batch in batches:

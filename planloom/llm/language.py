@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from planloom.llm.packing import buffer_of, words_of
+from planloom.llm.packing import buffer_of, handed, tidy, words_of
 
 #: Bounds of the sample that the network is fitted on: labelled documents, and distinct (language, word) pairs of those.
 SAMPLE_DOCS = 3000
@@ -28,8 +28,8 @@ BATCH = 128
 RATE = 0.01
 SEGMENT = 48
 UNKNOWN = "und"
-_CHUNK_BYTES = 8 << 20
-_AT_ONCE = 8192
+_CHUNK_BYTES = 4 << 20
+_AT_ONCE = 2048
 _SEED = 11
 
 
@@ -201,9 +201,10 @@ def predicted(docs: DataFrame, net: Network | None = None) -> DataFrame:
     * Texts and words of any length; repeated rows are predicted alike; an empty table gives no rows; other columns are not looked at.
     """
     net = net or trained(docs)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"),
+    rows = handed(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"),
                        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)))

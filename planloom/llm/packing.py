@@ -2,19 +2,61 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
+import re
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 
 
+#: Most bytes of rows that are handed to a Python worker at once, unless the session asks for less. The JVM holds a batch outside its heap
+#: and the worker holds it again, for each running task.
+HANDED_BYTES = 8 << 20
+_HANDED = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def handed(rows: DataFrame) -> DataFrame:
+    """The same rows; from now on their session hands rows to Python in batches of at most ``HANDED_BYTES`` (one row at least)."""
+    conf = rows.sparkSession.conf
+    number, unit = re.fullmatch(r"(-?\d+)([bkmgt]?)b?", conf.get(_HANDED).strip().lower()).groups()
+    if not 0 < int(number) << 10 * "bkmgt".index(unit or "b") <= HANDED_BYTES:
+        conf.set(_HANDED, f"{HANDED_BYTES}b")
+    return rows
+
+
+def give_back() -> None:
+    """Return freed memory of this worker process to the machine: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Batches) -> Batches:
+    """A function for ``mapInArrow`` that gives memory back at the end of its task."""
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def pack(**arrays: np.ndarray) -> bytes:
     """Named arrays as one value of a binary column."""
     head = json.dumps([(name, a.dtype.str, len(a)) for name, a in arrays.items()]).encode()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from planloom.llm.dealing import pieces, text_bytes
-from planloom.llm.packing import U64, mixed
+from planloom.llm.packing import U64, handed, mixed, tidy
 from planloom.session import staged
 
 SLOTS = 64
@@ -190,10 +190,11 @@ def edit_fingerprints(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFram
     * A null text is empty. A null ``doc_id`` comes last. Rows with one ``doc_id`` follow each other by a hash of the text, then the text.
     * A single row is its own next. Two empty texts are alike (1.0). An empty table gives no rows. Other columns are not looked at.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = handed(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     ranges = rows.repartitionByRange(pieces(text_bytes(docs), part_bytes), *order).sortWithinPartitions(*order, "text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
@@ -223,6 +224,7 @@ def _at_edges(found: DataFrame) -> DataFrame:
     first = found.where("edge = 0").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
     joined = last.join(following, "part").join(first, "next_part").select("doc_id", "text", "next_text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text, after in zip(*(batch.column(c).to_pylist() for c in range(3))):

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from planloom.llm.packing import U64, buffer_of, hashes_of, words_of
+from planloom.llm.packing import U64, buffer_of, handed, hashes_of, tidy, words_of
 from planloom.session import staged
 
 #: Bounds of the samples that the views are fitted on.
@@ -173,6 +173,7 @@ def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _sampled(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of both views and the labels of a sample; only the features come to the driver."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
@@ -221,6 +222,7 @@ def scored(docs: DataFrame, labels: DataFrame, model: CoTrained | None = None) -
     """
     model = model or trained(docs, labels)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
@@ -229,4 +231,4 @@ def scored(docs: DataFrame, labels: DataFrame, model: CoTrained | None = None) -
                 yield pa.record_batch([part.column(0), *(pa.array(x.astype(float)) for x in (a, b, c)), pa.array(c >= 0.5)],
                                       ["doc_id", "text_score", "meta_score", "score", "keep"])
 
-    return _views(docs).mapInArrow(run, "doc_id bigint, text_score double, meta_score double, score double, keep boolean")
+    return _views(handed(docs)).mapInArrow(run, "doc_id bigint, text_score double, meta_score double, score double, keep boolean")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from planloom.llm.components import components
-from planloom.llm.packing import U64, column, in_groups
+from planloom.llm.packing import U64, column, handed, in_groups, tidy
 from planloom.session import staged
 
 WORDS = 4
@@ -52,11 +52,12 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``fp`` (bigint): one row per row of ``docs``. A null text has no words."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), U64, batch.num_rows)
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
+    return handed(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
         run, "doc_id bigint, fp bigint")
 
 
@@ -171,6 +172,7 @@ def near_pairs(classes: DataFrame, radius: int = RADIUS, pieces: int = PIECES) -
         "fp", F.when(F.col("blocks").isNull(), F.col("key")).otherwise(
             F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in in_groups(batches, "key", _ROWS_AT_ONCE):
             fps, group = np.asarray(column(table, "fp")), np.asarray(column(table, "key"))

@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from planloom.llm.dealing import pieces, text_bytes
-from planloom.llm.packing import U64, mixed, pack, unpack
+from planloom.llm.packing import U64, give_back, handed, mixed, pack, tidy, unpack
 from planloom.session import scratch_path, staged
 
 END_ID = 2
 SHARD_BYTES = 16 << 20
 BUCKET_KEYS = 4096
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 150_000
 _HEAD = "<qI"
 _HEAD_BYTES = struct.calcsize(_HEAD)
 _NULL = 1 << 31
@@ -170,10 +170,11 @@ def small(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
     """Write the shards of ``docs`` (doc_id, text) to ``path``. A null text has no ids but the end; null keys come first."""
     wide = encoder(tokenizer).wide
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = handed(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = ["doc_id", F.xxhash64("text"), "text"]
     ranged = rows.repartitionByRange(pieces(text_bytes(docs), shard_bytes), *order[:2]).sortWithinPartitions(*order)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, size = encoder(tokenizer).encode_all, 4 if wide else 2
         for batch in batches:
@@ -212,6 +213,7 @@ def _records(raw: memoryview, size: int) -> Iterator[tuple[int | None, int, int]
 
 def scan_shards(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     """``(doc_id, shard, offset, records, before, ids)`` for each run of equal keys; ``before``: ids of the shard before the run."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -361,6 +363,7 @@ class TokenStore:
                         for to, value in zip(out, (key, first + before, n & ~_NULL, ids)):
                             to.append(value)
                         before += n & ~_NULL
+            give_back()
             return pa.table([pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
                             names=["doc_id", "start", "n_tokens", "ids"])
 
