@@ -114,12 +114,12 @@ class Shared:
 
     def __init__(self, hashes: np.ndarray, doc: np.ndarray, buckets: int):
         """``hashes`` with the ``doc`` each occurs in; equal neighbours may be merged before."""
-        order = np.lexsort((doc, hashes))
+        order = np.argsort(hashes)
         h, d = hashes[order], doc[order]
         new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
         starts = np.flatnonzero(new)
-        ends = np.concatenate([starts[1:], [len(h)]]) - 1 if len(h) else starts
-        self.distinct, self.many = h[starts], d[starts] != d[ends]
+        self.distinct = h[starts]
+        self.many = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts) if len(h) else np.zeros(0, bool)
         self.index = np.empty(len(h), np.int64)
         self.index[order] = np.cumsum(new) - 1
         self.buckets = buckets

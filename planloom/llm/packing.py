@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 U64 = np.uint64
+_BLOCK = 1 << 14
 _STEP = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 
@@ -110,16 +111,25 @@ def hashes_of(words: pa.Array, seed: int = 0) -> np.ndarray:
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection that spreads all bits."""
     h = h ^ (h >> U64(30))
-    h = h * U64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> U64(27))
-    h = h * U64(0x94D049BB133111EB)
-    return h ^ (h >> U64(31))
+    h *= U64(0xBF58476D1CE4E5B9)
+    h ^= h >> U64(27)
+    h *= U64(0x94D049BB133111EB)
+    h ^= h >> U64(31)
+    return h
 
 
 def rolled(values: np.ndarray, width: int, step: int = _STEP) -> np.ndarray:
-    """Polynomial hash (mod 2**64) of each run of ``width`` values, by doubling; mixed."""
-    if len(values) < width:
-        return np.zeros(0, U64)
+    """Polynomial hash (mod 2**64) of each run of ``width`` values; mixed. Block by block, as blocks fit into a core's cache."""
+    n = max(0, len(values) - width + 1)
+    out = np.empty(n, U64)
+    for lo in range(0, n, _BLOCK):
+        hi = min(n, lo + _BLOCK)
+        out[lo:hi] = mixed(_polynomial(values[lo:hi + width - 1], width, step))
+    return out
+
+
+def _polynomial(values: np.ndarray, width: int, step: int) -> np.ndarray:
+    """The hashes of one block, by doubling."""
     h, levels, size = values.astype(U64), {}, 1
     while size <= width:
         if width & size:
@@ -133,16 +143,21 @@ def rolled(values: np.ndarray, width: int, step: int = _STEP) -> np.ndarray:
             part = levels[size][done:done + n]
             out = part.copy() if out is None else out + U64(pow(step, done, 1 << 64)) * part
             done += size
-    return mixed(out)
+    return out
 
 
 def sliding(values: np.ndarray, width: int, best: Callable) -> np.ndarray:
-    """``best`` (minimum or maximum) of each run of ``width`` values, by doubling."""
-    out, size = values, 1
-    while size * 2 <= width:
-        out = best(out[:-size], out[size:])
-        size *= 2
-    return best(out[:len(out) - (width - size)], out[width - size:]) if width > size else out
+    """``best`` (minimum or maximum) of each run of ``width`` values, block by block."""
+    n = max(0, len(values) - width + 1)
+    out = np.empty(n, values.dtype)
+    for lo in range(0, n, _BLOCK):
+        hi = min(n, lo + _BLOCK)
+        part, size = values[lo:hi + width - 1], 1
+        while size * 2 <= width:
+            part = best(part[:-size], part[size:])
+            size *= 2
+        out[lo:hi] = best(part[:len(part) - (width - size)], part[width - size:]) if width > size else part
+    return out
 
 
 def lowest(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
