@@ -159,18 +159,23 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
+def dealt_blocks(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """The rows, but a key of more than ``BLOCK_ROWS`` is dealt out as keys of their own: pairs of blocks of members."""
+    zero = F.lit(0).cast("bigint")
+    crowded = staged(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS).select(
+        key, F.ceil(F.col("n") / BLOCK_ROWS).cast("bigint").alias("_blocks")), "crowded")
+    dealt = rows.join(crowded, key, "left").withColumn("_mine", F.pmod(F.xxhash64(member), F.coalesce("_blocks", F.lit(1))))
+    other = F.explode(F.when(F.col("_blocks").isNull(), F.array(zero)).otherwise(F.sequence(zero, F.col("_blocks") - 1)))
+    block = F.xxhash64(key, F.least("_mine", "_other"), F.greatest("_mine", "_other"))
+    return dealt.withColumn("_other", other).withColumn(key, F.when(F.col("_blocks").isNull(), F.col(key)).otherwise(block)).select(rows.columns)
+
+
 def near_pairs(classes: DataFrame, radius: int = RADIUS, pieces: int = PIECES) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that connect all within the radius: a spanning forest per bucket."""
     masks = _masks(pieces, radius)
     keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])
     rows = classes.select("fp", F.explode(keys).alias("key"))
-    crowded = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS).select(
-        "key", F.ceil(F.col("n") / BLOCK_ROWS).cast("bigint").alias("blocks")), "crowded")
-    rows = rows.join(crowded, "key", "left").withColumn("mine", F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))))
-    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rows = rows.withColumn("other", other).select(
-        "fp", F.when(F.col("blocks").isNull(), F.col("key")).otherwise(
-            F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"))
+    rows = dealt_blocks(rows, "key", "fp")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

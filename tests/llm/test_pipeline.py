@@ -1,9 +1,12 @@
 """Each stage against plain rules on a small table, and the whole."""
 
+import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
-from planloom.llm import decontaminate
+from planloom.llm import decontaminate, near_copies
 
 DATA = "/root/testdata/sf0.001"
 
@@ -44,3 +47,67 @@ def test_awkward_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, DATA).collect(), docs.schema)
     assert all(r["text"] for r in docs.collect())
+
+
+def _shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def _kept_by_force(rows):
+    """Ids of the lowest document of each component of texts with equal sets or a Jaccard similarity of 0.8 or more."""
+    sets, root = [_shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holders = {}
+    for i, s in enumerate(sets):
+        for g in s or {()}:
+            holders.setdefault(g, []).append(i)
+    pairs = {(i, j) for h in holders.values() for n, i in enumerate(h) for j in h[n + 1:]}
+    for i, j in pairs:
+        if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = sorted((top(i), top(j)), key=lambda k: rows[k][0])
+            root[b] = a
+    return sorted(rows[i][0] for i in range(len(rows)) if top(i) == i)
+
+
+def test_near_duplicates_by_force(spark):
+    """Edited copies about the border of 0.8, of short and long texts, and shared phrases."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    phrase = rng.choices(vocabulary, k=12)
+    rows = []
+    for n in (1, 3, 5, 9, 14, 30, 60, 61, 150, 400):
+        for _ in range(4):
+            words = rng.choices(vocabulary, k=n)
+            if n >= 30:
+                words[5:17] = phrase
+            rows.append(words)
+            for edits in (1, 1, 2, 3, 5, n // 50 + 1, n // 40 + 1):
+                copy = list(words)
+                for _ in range(edits):
+                    copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+                rows.append(copy)
+            rows += [words + [w] for w in rng.choices(vocabulary, k=3)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)] + [(9001, None), (9002, ""), (9003, " \n")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, DATA)
+    assert sorted(r["doc_id"] for r in kept.collect()) == _kept_by_force(rows)
+
+
+def test_prefixes_meet():
+    """Whatever the order, two sets at the border share a shingle of their prefixes."""
+    rng = np.random.default_rng(3)
+    for n in range(1, 80):
+        a = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        for m in range(-(-4 * len(a) // 5), len(a) + 1):
+            b = np.sort(rng.choice(a, m, replace=False))
+            often = np.sort(rng.choice(a, len(a) // 2, replace=False))
+            times = rng.integers(2, 9, len(often))
+            if near_copies.similar(a, b):
+                assert set(near_copies.prefix(a, often, times).tolist()) & set(near_copies.prefix(b, often, times).tolist())
