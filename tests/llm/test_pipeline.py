@@ -111,3 +111,16 @@ def test_prefixes_meet():
             times = rng.integers(2, 9, len(often))
             if near_copies.similar(a, b):
                 assert set(near_copies.prefix(a, often, times).tolist()) & set(near_copies.prefix(b, often, times).tolist())
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows decide, not ids: texts that share an id are different documents, and a row that occurs twice is one."""
+    one, other, third = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue black white grey")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    for rows, kept in (
+        ([(1, one), (2, one), (2, other)], [(1, one), (2, other)]),
+        ([(2, one), (2, other)], [(2, one), (2, other)]),
+        ([(2, one), (2, one), (2, other), (3, other), (None, third), (None, third), (None, one)], [(2, one), (2, other), (None, third)]),
+    ):
+        found = stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), DATA).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in found) == Counter(kept)
