@@ -15,12 +15,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from planloom.llm.packing import buffer_of, handed, tidy, words_of
+from planloom.session import staged
 
-#: Bounds of the sample that the network is fitted on: labelled documents, and distinct (language, word) pairs of those.
+#: Bounds of the sample that the network is fitted on, for each language: labelled documents, and distinct words of those.
 SAMPLE_DOCS = 3000
-SAMPLE_WORDS = 12000
+SAMPLE_WORDS = 6000
 HIDDEN = 20
 EMBEDDED = 12
 EPOCHS = 6
@@ -163,16 +165,26 @@ def fit(sample: list[tuple[str, bytes, int]]) -> Network | None:
     return net
 
 
+def _chosen(train: DataFrame) -> DataFrame:
+    """At most ``SAMPLE_DOCS`` distinct rows of each language, by a hash of id and text; only about so many are shuffled."""
+    keyed = train.withColumn("_key", F.xxhash64("doc_id", "text"))
+    share = staged(keyed.groupBy("lang").agg((F.lit(1.5 * SAMPLE_DOCS) / F.approx_count_distinct("_key")).alias("_share")), "shares")
+    # the language of the largest number of rows would else be one task's
+    some = keyed.join(share, "lang").where(F.shiftrightunsigned("_key", 11) / float(1 << 53) < F.col("_share"))
+    ranked = some.dropDuplicates(["lang", "_key"]).withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_key")))
+    return ranked.where(F.col("_rank") <= SAMPLE_DOCS).select("doc_id", "text", "lang")
+
+
 def trained(docs: DataFrame) -> Network | None:
-    """Fit on the training fold: words of at most ``SAMPLE_DOCS`` documents, taken by a hash of their ids and texts."""
+    """Fit on the training fold: words of at most ``SAMPLE_DOCS`` documents of each language, taken by a hash of their ids and texts."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
     train = labelled.where("doc_id is null or pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1")
-    chosen = train.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE_DOCS)
-    words = chosen.select("lang", F.explode(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+"))).alias("word")).where("word <> ''")
+    words = _chosen(train).select("lang", F.explode(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+"))).alias("word")).where("word <> ''")
     counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     # frequent words first, the others by a hash
-    rows = counted.orderBy(F.when(F.col("n") > 2, 0).otherwise(1), F.xxhash64("word", "lang"), "word", "lang").limit(SAMPLE_WORDS)
+    order = Window.partitionBy("lang").orderBy(F.when(F.col("n") > 2, 0).otherwise(1), F.xxhash64("word", "lang"), "word")
+    rows = counted.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= SAMPLE_WORDS)
     return fit(sorted((r["lang"], r["word"].encode(), r["n"]) for r in rows.collect()))
 
 

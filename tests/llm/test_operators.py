@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -386,3 +387,16 @@ def test_empty_tables(spark, empty, name, tmp_path):
     for other in ("benchmark", "labels"):
         spark.read.parquet(f"{DATA}/{other}.parquet").limit(0).write.parquet(f"{tmp_path}/{other}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).collect() == []
+
+
+def test_language_of_few_documents_is_learned(spark):
+    """A language of one or two documents has its own places in the sample, however many words another one has."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(13_000)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=60)), "aa") for i in range(5000)]
+    rows += [(i, " ".join("".join(rng.choices("uvwxyz", k=6)) for _ in range(40)), "zz") for i in range(5000, 5006)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    net = language.trained(docs)
+    assert net.languages == ["aa", "zz"]
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predicted(docs.where("doc_id >= 4990"), net).collect()}
+    assert all(name == ("zz" if i >= 5000 else "aa") for i, name in found.items())
