@@ -10,33 +10,51 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 RECORD = "map<string,string>"
 
 
-def _entries(chunk: Column) -> Column:
-    return F.from_json(chunk, RECORD)
+def _bad(what: str, text: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"keyed JSON: {what}: "), text)).cast(RECORD)
+
+
+def _entries(chunk: Column, used: Column) -> Column:
+    """Entries of an object, none if not ``used`` (a filter of its own might be merged with one on the error); a chunk that is
+    no object ends the query, so that no record is lost unseen."""
+    found = F.from_json(chunk, RECORD)
+    return F.when(used & found.isNull(), _bad("no object, the file is damaged or of another layout", F.substring(chunk, 1, 200))).when(used, found)
+
+
+def _unclosed(parts: DataFrame, opened: Column, closed: Column) -> DataFrame:
+    """A row for each file, without entries; it ends the query if not as many objects are closed as opened: a file cut off between records."""
+    files = parts.groupBy("file_path").agg(F.sum(opened.cast("int")).alias("opened"), F.sum(closed.cast("int")).alias("closed"))
+    return files.select(F.when(F.col("opened") != F.col("closed"), _bad("cut off or of another layout", F.col("file_path"))).alias("entries"))
 
 
 def read_keyed_json(spark: SparkSession, path: str, schema: T.StructType | None = None, keep_id: bool = False,
-                    layout: str = "whole", indent: int = 2) -> DataFrame:
+                    layout: str = "lines", indent: int = 2) -> DataFrame:
     """One row per key whose value is an object; ``id`` is the key. Other values are skipped.
 
-    * ``layout="whole"`` reads any layout, one file per task, so it is for files of moderate size;
-    * ``"lines"`` reads files of ``write_keyed_json`` (one entry per line) and ``"indented"`` reads
+    * ``"lines"`` (the default) reads files of ``write_keyed_json`` (one entry per line) and ``"indented"`` reads
       pretty-printed files (each record closed by a brace at ``indent``). Both split large files over tasks;
       keys must be unique there, while ``whole`` takes the last of repeated keys of a file.
+    * ``"whole"`` reads any layout, one file per task, so it is for files of moderate size.
+
+    Damaged files, files cut off and files of another layout raise an error when they are read; blank files have no rows.
 
     With ``schema`` the record's fields become columns, else one ``record`` map of JSON texts. ``keep_id``
     leaves a record's own ``id`` in place, even a null one, and uses the key only where there is none.
     """
     if layout == "whole":
-        chunks = spark.read.text(path, wholetext=True).select(_entries(F.col("value")).alias("entries"))
+        chunks = spark.read.text(path, wholetext=True).select(_entries(F.col("value"), F.col("value").rlike(r"\S")).alias("entries"))
     elif layout == "lines":
-        line = F.regexp_replace(F.col("value"), r",\s*$", "")
-        chunks = spark.read.text(path).where(~F.trim("value").isin("{", "}", "")).select(
-            _entries(F.concat(F.lit("{"), line, F.lit("}"))).alias("entries"))
+        parts = spark.read.text(path).select("value", "_metadata.file_path")
+        line, text = F.regexp_replace(F.col("value"), r",\s*$", ""), F.trim("value")
+        chunks = parts.select(_entries(F.concat(F.lit("{"), line, F.lit("}")), ~text.isin("{", "}", "")).alias("entries"))
+        chunks = chunks.unionByName(_unclosed(parts, text == "{", text == "}"))
     elif layout == "indented":
         # a brace at the record's depth can only close a record: line breaks inside texts are escaped
+        parts = spark.read.text(path, lineSep="\n" + " " * indent + "}").select("value", "_metadata.file_path")
         body = F.regexp_replace(F.col("value"), r"^[\s{,]+", "")
-        chunks = spark.read.text(path, lineSep="\n" + " " * indent + "}").where(F.contains("value", F.lit('"'))).select(
-            _entries(F.concat(F.lit("{"), body, F.lit("}}"))).alias("entries"))
+        chunks = parts.select(_entries(F.concat(F.lit("{"), body, F.lit("}}")), F.contains("value", F.lit('"'))).alias("entries"))
+        # the part that begins the file opens its object, the one that ends it closes it at the margin
+        chunks = chunks.unionByName(_unclosed(parts, F.col("value").rlike(r"^\s*\{"), F.col("value").rlike(r"(^|\n)\}\s*$|^\s*\{\s*\}\s*$")))
     else:
         raise ValueError(f"unknown layout {layout!r}")
     rows = chunks.select(F.explode("entries").alias("_key", "_value")).where(F.startswith(F.trim("_value"), F.lit("{")))

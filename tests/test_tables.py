@@ -47,6 +47,31 @@ def test_write_keyed_json(spark):
     assert sum(len(json.loads(f["value"])) for f in files) == 40
 
 
+@pytest.mark.parametrize("layout, indent, text", [
+    ("whole", None, '{"a": {"x": 1}, "b": {"x"'), ("whole", None, "[1]"), ("whole", 2, '{"a": {"x": 1}'),
+    ("lines", None, '{\n"a": {"x": 1},\n"b": {"x"\n}\n'), ("lines", None, '{\n"a": {"x": 1},\n'), ("lines", None, '{"a": {"x": 1}}'),
+    ("lines", 2, '{\n  "a": {\n    "x": 1\n  }\n}'), ("indented", 2, '{\n  "a": {\n    "x": 1\n  },\n  "b": {\n    "x": 1'),
+    ("indented", 2, '{\n  "a": {\n    "x": 1\n  },\n  "b": {\n    "x": nul\n  }\n}'), ("indented", 2, '{\n  "a": {\n    "x": 1\n  }'),
+])
+def test_damaged_keyed_json_is_an_error(spark, tmp_path, layout, indent, text):
+    (tmp_path / "good.json").write_text({"whole": '{"g": {"x": 1}}', "lines": '{\n"g": {"x": 1}\n}\n', "indented": json.dumps({"g": {"x": 1}}, indent=2)}[layout])
+    assert [r["id"] for r in read_keyed_json(spark, str(tmp_path), layout=layout).collect()] == ["g"]
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(Exception, match="keyed JSON"):
+        read_keyed_json(spark, str(tmp_path), layout=layout).count()
+
+
+def test_keyed_json_splits_by_default(spark, tmp_path):
+    (tmp_path / "in.json").write_text("{\n" + ",\n".join(f'"k{i}": {{"x": {i}}}' for i in range(5000)) + "\n}\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows = read_keyed_json(spark, str(tmp_path))
+        assert rows.count() == 5000 and rows.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "cities.txt").write_text("\nOslo\n\nRome\n\n")
     assert [r["c"] for r in read_lines(spark, str(tmp_path / "cities.txt"), "c").collect()] == ["Oslo", "", "Rome"]
