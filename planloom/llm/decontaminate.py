@@ -27,8 +27,8 @@ _MARKS = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not (chr(b).isalnu
 
 
 def plain(text: str | None) -> list[bytes]:
-    """The words of a text as they are compared."""
-    return (text or "").lower().encode().translate(_MARKS).split()
+    """The words of a text as they are compared; lower-cased as the documents are."""
+    return pc.utf8_lower(pa.scalar(text or "")).as_py().encode().translate(_MARKS).split()
 
 
 def budget(words: int, rate: float = RATE) -> int:

@@ -400,3 +400,11 @@ def test_language_of_few_documents_is_learned(spark):
     assert net.languages == ["aa", "zz"]
     found = {r["doc_id"]: r["lang_pred"] for r in language.predicted(docs.where("doc_id >= 4990"), net).collect()}
     assert all(name == ("zz" if i >= 5000 else "aa") for i, name in found.items())
+
+
+def test_decontaminate_lowers_items_and_documents_alike(spark):
+    """Capitals whose lower case depends on the function: a sigma that ends a word, an I with a dot."""
+    items = [(1, "ΟΔΟΣ ΛΟΓΟΣ ΜΕΓΑΣ"), (2, "İSTANBUL İZMİR İKİ")]
+    docs = [(i, f"some words {t} and more") for i, t in items] + [(3, "some words and more")]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in found.collect()) == [(1, 1, 0), (2, 2, 0)]
