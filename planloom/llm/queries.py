@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planloom.llm import context_tree, decontaminate, language, mixing, phrases, quality, repeats, run_index, simhash, token_store
+from planloom.llm import (context_tree, decontaminate, language, merkle, mixing, phrases, quality, repair, repeats, run_index, simhash,
+                          token_store, warc)
+from planloom.llm.sql import SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,22 +65,20 @@ def op10_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_store, op2_simhash, op3_context_tree, op4_decontaminate, op5_language, op6_quality,
-                                   op7_run_index, op8_mixing, op9_repeats, op10_phrases)}
-
-#: Windows of 13 words that an earlier document holds, by their whole word sequence.
-SQL = {
-    "op9_repeats": r"""
-        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-        p AS (SELECT doc_id, unnest(range(1, len(words) - 11)) AS i, words FROM w WHERE len(words) >= 13),
-        win AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 12], ' ')) AS h FROM p),
-        low AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h),
-        hit AS (SELECT win.doc_id, win.i FROM win JOIN low USING (h) WHERE first < win.doc_id),
-        gone AS (SELECT DISTINCT doc_id, i + d AS j FROM hit, range(0, 13) AS r(d)),
-        word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM w),
-        kept AS (SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.j) AS kept, count(*) AS n
-                 FROM word ANTI JOIN gone ON gone.doc_id = word.doc_id AND gone.j = word.j GROUP BY word.doc_id)
-        SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
-               sha256(coalesce(kept, '')) AS kept_sha256
-        FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
-}
+                                   op7_run_index, op8_mixing, op9_repeats, op10_phrases, op11_warc, op12_repair, op13_merkle)}
+
+__all__ = ["QUERIES", "SQL"]
