@@ -212,13 +212,14 @@ def dataset_manifest(docs: DataFrame) -> tuple[Manifest, Manifest, DataFrame]:
       no difference to any digest. A null ``doc_id`` comes first.
     * Texts of any length; an empty table has no nodes and no leaves; further columns are not looked at.
     """
-    leaves = staged(ranked(leaves_of(docs), ["doc_id", "leaf", "_row"]), "leaves")
+    leaves = staged(ranked(staged(leaves_of(docs), "hashed"), ["doc_id", "leaf", "_row"]), "leaves")
     below = Manifest.of(leaves)
     subroots = staged(below.roots().select(F.lit(_TOP).alias("tree"), F.col("tree").alias("group"), F.col("digest").alias("leaf")), "subroots")
     tops = staged(ranked(subroots, ["group"]), "groups")
     above = Manifest.of(tops)
-    ends = above.paths(tops).select(F.col("group").alias("tree"), F.col("leaf").alias("subroot"), F.col("path").alias("_above"), F.lit(_TOP).alias("_top"))
-    ends = staged(ends.join(above.roots().select(F.col("tree").alias("_top"), F.col("digest").alias("root")), "_top").drop("_top"), "ends")
+    # the root's tree is read from both tables: as a literal it would be folded, and the join with it a cross join
+    ways = above.paths(tops).select(F.col("tree").alias("_top"), F.col("group").alias("tree"), F.col("leaf").alias("subroot"), F.col("path").alias("_above"))
+    ends = staged(ways.join(above.roots().select(F.col("tree").alias("_top"), F.col("digest").alias("root")), "_top").drop("_top"), "ends")
     proofs = below.paths(leaves).join(ends, "tree").withColumn("path", F.concat("path", "_above")).drop("_above")
     return below, above, proofs
 
