@@ -305,7 +305,8 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
                             yield made(rows)
                             rows, size = [], 0
                 yield made(rows)
-    return files.repartition("path").mapInArrow(run, ", ".join(f"{name} {kind}" for name, _, kind in columns))
+    # a task for each archive: their paths are so few bytes that adaptive execution would put them all into one
+    return files.repartition(max(1, files.count())).mapInArrow(run, ", ".join(f"{name} {kind}" for name, _, kind in columns))
 
 
 def archived(pages: DataFrame, path: str | None = None, least: int = 0) -> DataFrame:
