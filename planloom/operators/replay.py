@@ -25,16 +25,22 @@ from planloom.operators.ordered import Ordered, highest, latest, total
 STRICT, LENIENT, CLAMPED = "strict", "lenient", "clamped"
 
 
+def _exact(df: DataFrame, name: str) -> Column:
+    """Whole numbers as they are; fractions and texts of numbers as decimals, so that running sums are exact in any order."""
+    whole = df.schema[name].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.col(name).cast("long") if whole else F.col(name).try_cast("decimal(18,6)")
+
+
 def with_travel(seq: Ordered, edges: DataFrame, edge_keys: Sequence[str] = ()) -> Ordered:
     """Add ``loc``, the place before each step, and ``travel_min`` to its destination (null: no such edge).
 
-    ``edges`` has (origin, dest, minutes), for all plans or, with ``edge_keys``, per problem. The join is on
+    ``edges`` has (origin, dest, minutes), for all plans or, with ``edge_keys``, per problem; minutes may be fractions. The join is on
     equality only; Spark broadcasts the edges if its own size check allows.
     """
     seq = seq.running(loc=latest(F.col("dest"), inclusive=False))
     df = seq.df.withColumn("loc", F.coalesce("loc", "start_location"))
     edges = edges.select(*[F.col(k).alias("_e_" + k) for k in edge_keys], F.col("origin").alias("_origin"),
-                         F.col("dest").alias("_dest"), F.col("minutes").cast("long").alias("travel_min"))
+                         F.col("dest").alias("_dest"), _exact(edges, "minutes").alias("travel_min"))
     match = (df["loc"] == edges["_origin"]) & (df["dest"] == edges["_dest"])
     for key in edge_keys:
         match = match & (df[key] == edges["_e_" + key])
@@ -95,7 +101,8 @@ def replay(seq: Ordered, edges: DataFrame, rule: str = LENIENT, edge_keys: Seque
         seq = seq.running(by=["person"], times_met=total((F.col("kind") == MEET).cast("int"), inclusive=False))
     seq = with_travel(seq, edges, edge_keys)
     spend = F.when(F.col("kind") == TRAVEL, F.coalesce("travel_min", F.lit(0))).when(
-        F.col("kind") == MEET, F.coalesce("dur_min", F.lit(0))).otherwise(0).cast("long")
+        F.col("kind") == MEET, F.coalesce("dur_min", F.lit(0))).otherwise(0)
+    spend = spend.cast("long") if seq.df.schema["travel_min"].dataType.typeName() == "long" else spend.cast("decimal(18,6)")
     seq = seq.with_columns(spend=spend).running(spent=total(F.col("spend")))
     ahead = F.col("wait_min") - F.col("spent")
     if rule == CLAMPED:

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from planloom.operators.ordered import arrange
-from planloom.operators.record_replay import replay_record
+from planloom.operators.record_replay import MINUTE, replay_record
+from planloom.operators.records import next_step_rows, scored
 from planloom.operators.replay import (CLAMPED, LENIENT, STRICT, first_failures, plan_scores, replay, replay_structured,
                                        with_people)
 from planloom.functions.plan_text import text_steps, typed_steps
@@ -126,6 +127,38 @@ def test_fold_over_texts_equals_loop(spark, rule):
         assert bool(got[pid]["reasons"]) == (stop is not None)
 
 
+def test_fractions_of_a_minute(spark):
+    """Travel times are added as they are, shown as they are written, and a cell that is no number is no edge."""
+    cells = '{"A": {"B": 5.5, "C": 0.1, "D": "soon", "A": 7.25}, "B": {"A": 4.5}, "C": {"B": 59.9, "A": None}}'
+    constraints = "[['A', '9:00AM'], ['p', 'A', '9:00AM to 9:20AM', 10], ['q', 'B', '9:00AM to 11:00AM', 60]]"
+    def plan(*places):
+        return "SOLUTION: You start at A at 9:00AM. " + " ".join(f"You travel to {x} in 1 minutes." for x in places)
+    rows = [("there and back", plan("B", "A") + " You meet p for 10 minutes."), ("too late", plan("B", "A", "A", "A") + " You meet p for 10 minutes."),
+            ("exact", plan("C", "B") + " You meet q for 60 minutes."), ("no number", plan("D")), ("null", plan("C", "A"))]
+    df = spark.createDataFrame([(k, p, constraints, cells, p, "2") for k, p in rows],
+                               "id string, pred string, constraints string, dist_matrix string, golden_plan string, num_people string")
+    got = {r["id"]: r for r in scored(df, "pred").collect()}
+    minutes = {k: r["state"]["now"] / MINUTE for k, r in got.items()}
+    assert minutes == {"there and back": 560, "too late": 564.5, "exact": 660, "no number": 540, "null": 540.1}
+    assert got["too late"]["state"]["reasons"] == ["too_late"] and got["exact"]["pred_score"] == 1
+    assert {k for k, r in got.items() if r["state"]["reasons"] == ["missing_distance"]} == {"no number", "null"}
+    shown = next_step_rows(df.where("id = 'there and back'").withColumn("golden_plan", F.lit("['You travel to B in', 'You travel to A in', 'You meet p']")),
+                           "id").orderBy("pos").collect()
+    assert ("Distances (minutes):\n- A to B: 5.5\n- A to C: 0.1\n- A to D: soon\n- A to A: 7.25\n- B to A: 4.5\n- C to B: 59.9\n"
+            "- C to A: None\n\n") in shown[0]["prompt"]
+    assert ["Time: 9:00AM\n" in shown[0]["prompt"], "Time: 9:05AM\n" in shown[1]["prompt"], "Time: 9:10AM\n" in shown[2]["prompt"]] == [True] * 3
+
+
+def test_scans_add_fractions(spark):
+    steps = spark.createDataFrame([(1, "A", 540, p, k, d, w, None, False) for p, (k, d, w) in enumerate(
+        [("travel", "B", None), ("travel", "A", None), ("wait", None, 600), ("travel", "C", None), ("start", None, None)])],
+        "pid int, start_location string, start_min int, pos int, kind string, dest string, wait_min int, person string, malformed boolean")
+    people = spark.createDataFrame([], "name string, place string, open_min int, close_min int, dur_min int")
+    edges = spark.createDataFrame([("A", "B", "5.5"), ("B", "A", "4.25"), ("A", "C", "0.1")], "origin string, dest string, minutes string")
+    rows = replay(arrange(with_people(steps, people), ["pid"], ["pos"]), edges, STRICT).rows().orderBy("pos").collect()
+    assert [float(r["now"]) for r in rows] == [540, 545.5, 549.75, 600, 600.1] and all(r["alive"] for r in rows)
+
+
 def _structured_loop(start, elements):
     place, now, met = start, 540, set()
     for pos, (location, person, at) in list(enumerate(elements, 1))[1:]:
