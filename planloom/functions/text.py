@@ -65,22 +65,27 @@ def word_count(text: Column) -> Column:
     return F.when(words == "", 0).otherwise(F.size(F.split(words, f"{BLANK}+")))
 
 
+def is_observation(line: Column) -> Column:
+    return F.startswith(line, F.lit("Observation"))
+
+
+def short_line(line: Column) -> Column:
+    """An observation line as a notice, which keeps its text up to its first colon."""
+    return F.concat(F.substring_index(line, ":", 1), F.lit(TRUNCATED))
+
+
 def truncate_scratchpad(text: Column, limit: int, tokens=word_count) -> Column:
     """Replace the largest ``Observation`` lines by a notice until at most ``limit`` tokens are left.
 
     ``tokens`` counts a line; the text counts as the sum of its lines. Of equal lines the last one goes first.
     """
-    def short(line: Column) -> Column:
-        # the notice keeps the line's text up to its first colon
-        return F.concat(F.substring_index(line, ":", 1), F.lit(TRUNCATED))
-
     def size_at(x: Column) -> Column:
         return F.struct(x["size"].alias("size"), x["at"].alias("at"))
 
     def cut(lines: Column) -> Column:
         """Largest and last first; gives (size, at) of the last line that must go."""
         ranked = F.reverse(F.array_sort(F.transform(F.filter(lines, lambda x: x["observed"]), lambda x: F.struct(
-            size_at(x).alias("place"), (x["size"] - tokens(short(x["line"]))).alias("saved")))))
+            size_at(x).alias("place"), (x["size"] - tokens(short_line(x["line"]))).alias("saved")))))
         start = F.struct(F.aggregate(lines, F.lit(0), lambda s, x: s + x["size"]).alias("left"),
                          F.lit(None).cast("struct<size:int,at:int>").alias("until"))
         return F.aggregate(ranked, start, lambda s, x: F.when(s["left"] <= limit, s).otherwise(F.struct(
@@ -88,26 +93,30 @@ def truncate_scratchpad(text: Column, limit: int, tokens=word_count) -> Column:
 
     def shortened(bound: Column) -> Column:
         return F.array_join(F.transform(bound["lines"], lambda x: F.when(
-            x["observed"] & (size_at(x) >= bound["until"]), short(x["line"])).otherwise(x["line"])), "\n")
+            x["observed"] & (size_at(x) >= bound["until"]), short_line(x["line"])).otherwise(x["line"])), "\n")
 
     lines = F.transform(F.split(text, "\n"), lambda line, at: F.struct(
         at.alias("at"), line.alias("line"), tokens(line).alias("size"),
-        F.startswith(line, F.lit("Observation")).alias("observed")))
+        is_observation(line).alias("observed")))
     return let(lines, lambda found: let(F.struct(found.alias("lines"), cut(found).alias("until")), shortened))
 
 
 def _response_json(text: Column) -> Column:
-    body = strip(text)
-    whole = F.when(F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}")), body)
-    return F.when(text.rlike(FENCED), F.regexp_extract(text, FENCED, 1)).otherwise(whole)
+    """The first fenced object, else a text that is one in braces."""
+    def chosen(found: Column) -> Column:
+        body = strip(text)
+        whole = F.when(F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}")), body)
+        return F.when(found != "", found).otherwise(whole)
+    # a fence is rare, and looking for three characters is cheaper than the pattern; a match is never empty
+    return let(F.when(F.contains(text, F.lit("```json")), F.regexp_extract(text, FENCED, 1)).otherwise(""), chosen)
 
 
-def _score(data: Column, name: str) -> tuple[Column, Column]:
-    """(acceptable, value): whole numbers, truth values and nothing are acceptable scores."""
-    kind = F.schema_of_variant(F.try_variant_get(data, f"$.{name}", "variant"))
-    value = F.when(kind == "BOOLEAN", F.try_variant_get(data, f"$.{name}", "boolean").cast("bigint")).otherwise(
-        F.try_variant_get(data, f"$.{name}", "bigint"))
-    return F.coalesce(kind, F.lit("VOID")).isin("BIGINT", "BOOLEAN", "VOID"), value
+def _score(value: Column) -> Column:
+    """(fits, number) of a score: whole numbers, truth values and nothing are acceptable."""
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    number = F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("bigint")).otherwise(
+        F.try_variant_get(value, "$", "bigint"))
+    return let(kind, lambda k: F.struct(k.isin("BIGINT", "BOOLEAN", "VOID").alias("fits"), number.alias("number")))
 
 
 # The fields of a judged response.
@@ -116,18 +125,21 @@ SCORES = ("overall_accuracy_score", "target_audience_score", "relevance_score")
 
 def judged(text: Column) -> Column:
     """Issues and scores of a judge's response; the empty default if it holds no such object."""
-    data = whole_json(_response_json(text))
-    issues = F.try_variant_get(data, "$.issues", "array<variant>")
-    listed = F.startswith(F.schema_of_variant(F.try_variant_get(data, "$.issues", "variant")), F.lit("ARRAY"))
-    checks = [_score(data, name) for name in SCORES]
-    valid = F.coalesce(listed, F.lit(False))
-    for fits, _ in checks:
-        valid = valid & fits
-    return F.struct(
-        F.when(valid, F.transform(issues, lambda i: F.to_json(i))).otherwise(
-            F.array().cast("array<string>")).alias("issues"),
-        *[F.when(valid, value).alias(name) for name, (_, value) in zip(SCORES, checks)],
-        valid.alias("accepted"))
+    def found(data: Column) -> Column:
+        issues = F.try_variant_get(data, "$.issues", "variant")
+        return F.struct(F.startswith(F.schema_of_variant(issues), F.lit("ARRAY")).alias("listed"), issues.alias("issues"),
+                        *[_score(F.try_variant_get(data, f"$.{name}", "variant")).alias(name) for name in SCORES])
+
+    def checked(x: Column) -> Column:
+        valid = F.coalesce(x["listed"], F.lit(False))
+        for name in SCORES:
+            valid = valid & x[name]["fits"]
+        return let(valid, lambda ok: F.struct(
+            F.when(ok, F.transform(F.try_variant_get(x["issues"], "$", "array<variant>"), lambda i: F.to_json(i))).otherwise(
+                F.array().cast("array<string>")).alias("issues"),
+            *[F.when(ok, x[name]["number"]).alias(name) for name in SCORES], ok.alias("accepted")))
+    # each value is bound once: a column that is referred to again is evaluated again
+    return let(let(let(_response_json(text), whole_json), found), checked)
 
 
 def plan_response(text: Column) -> Column:

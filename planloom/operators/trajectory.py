@@ -7,11 +7,13 @@ any length is spread over tasks where needed (``planloom.operators.ordered``).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from planloom.functions.text import action, is_date
-from planloom.operators.ordered import MAX_GROUP_ROWS, Ordered, arrange, latest, total
+from planloom.functions.text import action, is_date, is_observation, mask, short_line, word_count
+from planloom.operators.ordered import MAX_GROUP_ROWS, Ordered, arrange, highest, latest, total
+from planloom.session import staged
 
 # Tool of each action name, and the shared counter of everything else.
 TOOLS = {
@@ -28,9 +30,9 @@ REPEATED = "same action 3 times repeated"
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-             max_rows: int = MAX_GROUP_ROWS) -> Ordered:
-    """Rows with their ``step``, counted from 1 within the trajectory."""
-    return arrange(df, keys, order, max_rows=max_rows).running(step=total(1))
+             max_rows: int = MAX_GROUP_ROWS, measure: DataFrame | None = None) -> Ordered:
+    """Rows with their ``step``, counted from 1 within the trajectory. ``measure``: a cheaper table with as many rows for each key."""
+    return arrange(df, keys, order, measure=measure, max_rows=max_rows).running(step=total(1))
 
 
 def tool_of(name: Column, tools: Mapping[str, str] = TOOLS) -> Column:
@@ -94,6 +96,42 @@ def outcomes(df: DataFrame, state: str = "state") -> DataFrame:
     return df.groupBy(state).agg(F.count("*").alias("steps"))
 
 
+def masked_pads(seq: Ordered, pad: str, observation: str, success: str) -> Ordered:
+    """Add ``masked``: each step's ``pad`` with the output of the latest successful step before it replaced by a notice.
+
+    A step whose own call failed replaces nothing, as its tool has not run. A null or blank output replaces nothing.
+    """
+    stale = F.when(F.col(success), F.coalesce(F.col(observation), F.lit("")))
+    seq = seq.running(_stale=latest(stale, inclusive=False))
+    masked = F.when(F.col(success), mask(F.col(pad), F.col("_stale"))).otherwise(F.col(pad))
+    return seq.with_columns(masked=masked).derive_without("_stale")
+
+
+def truncated_pads(df: DataFrame, keys: Sequence[str], pos: str, line: str, limit: int, tokens=word_count,
+                   max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Scratchpads whose lines are rows: the lines with the largest ``Observation`` lines cut until at most ``limit`` tokens are left.
+
+    The rule of ``truncate_scratchpad``, for pads of any number of lines: observations are ranked by size, of equal ones the last
+    goes first, and one is cut if the pad was too long before each cut up to it. Adds ``cut``; ``pos`` tells the lines of a pad apart.
+    """
+    short = short_line(F.col(line))
+    sized = df.withColumn("_size", F.coalesce(tokens(F.col(line)), F.lit(0)).cast("long"))
+    # one number for each pad, from partial sums
+    whole = staged(sized.groupBy(*keys).agg(F.sum("_size").alias("_whole")).withColumnsRenamed({k: "_w_" + k for k in keys}), "pads")
+    same = reduce(lambda a, b: a & b, [sized[k].eqNullSafe(whole["_w_" + k]) for k in keys])
+    observed = F.coalesce(is_observation(F.col(line)), F.lit(False))
+    rows = sized.join(whole, same).drop(*["_w_" + k for k in keys]).withColumns({
+        "_late": ~observed, "_less": -F.col("_size"), "_back": -F.col(pos)})
+    seq = arrange(rows, keys, ["_late", "_less", "_back"], measure=df.select(*keys), max_rows=max_rows)
+    saved = F.when(~F.col("_late"), F.col("_size") - tokens(short)).otherwise(0).cast("long")
+    seq = seq.with_columns(_saved=saved).running(_gone=total(F.col("_saved"), inclusive=False))
+    fits = F.col("_late") | (F.col("_whole") - F.col("_gone") <= limit)
+    seq = seq.with_columns(_fits=fits.cast("int")).running(_stopped=highest(F.col("_fits")))
+    cut = F.col("_stopped") == 0
+    return seq.rows().withColumns({"cut": cut, line: F.when(cut, short).otherwise(F.col(line))}).drop(
+        "_size", "_whole", "_late", "_less", "_back", "_saved", "_gone", "_fits", "_stopped")
+
+
 def row_text(*columns: str) -> Column:
     """A row as one line of text, nulls as ``None``. A table is its rows' lines, never one big value."""
     return F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns])

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from planloom.functions.text import judged
 from planloom.operators.predict import is_error, map_rows, prediction_column, two_stages, with_predictions, with_retries
 from planloom.plans.tables import table
 from planloom.session import scratch_path
-from planloom.sources.files import (first_rows, profile, read_jsonl, read_split, require_columns, require_rows, upsert,
-                                    write_dataset, write_jsonl)
+from planloom.sources.files import (first_rows, profile, read_jsonl, read_preferences, read_split, require_columns, require_rows,
+                                    upsert_in_place, write_dataset, write_jsonl)
 from planloom.sources.ids import with_positional_id
-from planloom.sources.keyed_json import read_keyed_json, write_keyed_json
+from planloom.sources.keyed_json import json_text, read_keyed_json, write_entries, write_keyed_json
 
 
 def keyed_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,47 @@ def keyed_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("record")["lang"].alias("lang"), F.md5(F.col("record")["text"]).alias("text_md5"))
 
 
+def keyed_json_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as indented keyed JSON, read by ranges of bytes: some values are no objects, some records have an id of their own, or a null one."""
+    field = lambda name, value: F.concat(F.lit(f'    "{name}": '), value)
+    number = F.col("doc_id").cast("string")
+    own = F.when(F.col("doc_id") % 4 == 0, field("id", F.concat(F.lit('"own_'), number, F.lit('"')))).when(
+        F.col("doc_id") % 4 == 1, field("id", F.lit("null")))
+    record = F.concat(F.lit("{\n"), F.concat_ws(",\n", own, field("doc_id", number), field("lang", json_text(F.col("lang"))), field(
+        "text", json_text(F.col("text")))), F.lit("\n  }"))
+    other = F.when(F.col("doc_id") % 20 == 7, '[{"a": "}, {"}]').otherwise(json_text(F.concat(F.lit('{"no": "object", \\'), number, F.lit("\\"))))
+    value = F.when(F.col("doc_id") % 10 == 7, other).otherwise(record)
+    entries = table(spark, sf_dir, "documents").select(F.concat(F.lit('  "doc_'), number, F.lit('": '), value))
+    path = scratch_path(spark, "keyed")
+    write_entries(entries, path)
+    schema = T.StructType.fromDDL("id string, doc_id bigint, lang string, text string")
+    back = read_keyed_json(spark, path, schema, keep_id=True, layout="any", range_bytes=256 << 10)
+    return back.select("id", "doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+def inferred_schema_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event properties as lines without a schema: a field that the first rows lack, one that is whole or not, one that is a number or a text."""
+    k = F.get_json_object("props", "$.k")
+    number = F.col("event_id").cast("string")
+    weight = F.when((F.col("event_id") >= 100) & (F.col("event_id") % 3 == 0), F.concat(
+        F.lit(', "weight": '), number, F.when(F.col("event_id") % 2 == 0, ".5").otherwise("")))
+    size = F.concat(F.lit(', "size": '), F.when(F.col("event_id") % 5 == 0, '"large"').otherwise(k))
+    lines = table(spark, sf_dir, "events").select("event_id", F.concat(
+        F.lit('{"event_id": '), number, F.lit(', "props": '), F.col("props"), F.coalesce(weight, F.lit("")), size, F.lit(', "none": null}')).alias("value"))
+    path = scratch_path(spark, "lines")
+    lines.repartitionByRange(F.col("event_id")).sortWithinPartitions("event_id").select("value").write.text(path)
+    return read_jsonl(spark, path).select("event_id", F.col("props.k").alias("k"), "weight", "size", "none")
+
+
+def preference_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference rows saved as lines with further columns, read back with the three that training needs."""
+    made = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(
+        F.md5("text").alias("prompt"), F.concat(F.lit("Answer: "), F.col("text")).alias("chosen"), F.col("role").alias("rejected"), "conv_id")
+    path = scratch_path(spark, "preferences")
+    write_jsonl(made, path)
+    return read_preferences(read_jsonl(spark, path)).select("prompt", F.md5("chosen").alias("chosen_md5"), "rejected")
+
+
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     path = scratch_path(spark, "jsonl")
@@ -43,16 +84,16 @@ def columnar_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs of two models over the same queries; the second run updates only some of them."""
+    """Two runs of two models over the same queries, each into the same dataset; the second run updates only some of one set."""
     order = table(spark, sf_dir, "orders")
     key = F.when(F.col("o_orderkey") % 5 == 0, "test").otherwise("validation")
     def run(version: int, model: str, rows: DataFrame) -> DataFrame:
         return rows.select(key.alias("set_type"), F.col("o_orderkey").alias("query"), F.lit(version).alias("version"),
                            F.concat(F.lit(f"{model}:{version}:"), F.col("o_orderstatus")).alias(f"{model}_results"))
-    path = scratch_path(spark, "results")
-    write_dataset(upsert(run(1, "m1", order), run(1, "m2", order), ["set_type", "query"], "version"), path, "set_type")
-    later = run(2, "m1", order.where("o_orderkey % 3 = 0"))
-    return upsert(spark.read.parquet(path), later, ["set_type", "query"], "version")
+    path, keys = scratch_path(spark, "results"), ["set_type", "query"]
+    for part in (run(1, "m1", order), run(1, "m2", order), run(2, "m1", order.where("o_orderkey % 3 = 0 and o_orderkey % 5 <> 0"))):
+        upsert_in_place(part, path, keys, "version", "set_type")
+    return spark.read.parquet(path).select(*keys, "version", "m1_results", "m2_results")
 
 
 def first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +110,7 @@ def positional_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(table(spark, sf_dir, "conversations"), ["conv_id", "turn"]).select(
-        "rows", "columns", F.get_json_object("first_record", "$.role").alias("first_role"))
+        "rows", "columns", "types", F.get_json_object("first_record", "$.role").alias("first_role"))
 
 
 def local_responder():
@@ -129,6 +170,9 @@ QUERIES = {
     "map_rows": mapped_rows,
     "judged_saved": judged_saved,
     "keyed_json_roundtrip": keyed_json_roundtrip,
+    "keyed_json_any": keyed_json_any,
+    "inferred_schema": inferred_schema_scan,
+    "preference_scan": preference_scan,
     "jsonl_roundtrip": jsonl_roundtrip,
     "columnar_roundtrip": columnar_roundtrip,
     "result_upsert": result_upsert,
@@ -155,17 +199,24 @@ SQL = {
         WITH d AS (SELECT CASE WHEN doc_id % 10 <> 3 THEN 'doc_' || (doc_id - doc_id % 10 % 2) END AS id, * FROM documents),
         r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id DESC) AS n FROM d WHERE id IS NOT NULL)
         SELECT id, doc_id, lang, md5(text) AS text_md5 FROM r WHERE n = 1""",
+    "keyed_json_any": """SELECT CASE doc_id % 4 WHEN 0 THEN 'own_' || doc_id WHEN 1 THEN NULL ELSE 'doc_' || doc_id END AS id, doc_id, lang,
+        md5(text) AS text_md5 FROM documents WHERE doc_id % 10 <> 7""",
+    "inferred_schema": """SELECT event_id, k, CASE WHEN event_id >= 100 AND event_id % 3 = 0 THEN event_id + CASE WHEN event_id % 2 = 0
+        THEN 0.5::DOUBLE ELSE 0 END END AS weight, CASE WHEN event_id % 5 = 0 THEN 'large' ELSE k::VARCHAR END AS size, NULL::VARCHAR AS none
+        FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""",
+    "preference_scan": """SELECT md5(text) AS prompt, md5('Answer: ' || text) AS chosen_md5, role AS rejected FROM conversations
+        WHERE role = 'assistant'""",
     "jsonl_roundtrip": "SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations",
     "columnar_roundtrip": """SELECT source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents
         WHERE lang = 'en' GROUP BY source""",
     "result_upsert": """SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'validation' END AS set_type,
-        o_orderkey AS query, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS version,
-        CASE WHEN o_orderkey % 3 = 0 THEN 'm1:2:' ELSE 'm1:1:' END || o_orderstatus AS m1_results,
+        o_orderkey AS query, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 2 ELSE 1 END AS version,
+        CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 'm1:2:' ELSE 'm1:1:' END || o_orderstatus AS m1_results,
         'm2:1:' || o_orderstatus AS m2_results FROM orders""",
     "first_n": """SELECT doc_id, n_chars FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 50) WHERE n_chars >= 500""",
     "positional_id": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'e' || event_id
         ELSE 'index_' || (row_number() OVER (ORDER BY ts, event_id) - 1) END AS id FROM events""",
-    "dataset_profile": """SELECT count(*) AS rows, 'conv_id,turn,role,text' AS columns,
+    "dataset_profile": """SELECT count(*) AS rows, 'conv_id,turn,role,text' AS columns, 'bigint,bigint,string,string' AS types,
         arg_min(role, conv_id * 1000 + turn) AS first_role FROM conversations""",
     "predict_append": _PROMPTS + " SELECT conv_id, turn, answer FROM answered",
     "predict_retry": _PROMPTS + """ SELECT starts_with(answer, 'ERROR:') AS failed, count(*) AS rows

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from planloom.functions.text import action, clean_step, is_date
-from planloom.operators.ordered import MAX_GROUP_ROWS, Ordered
-from planloom.operators.trajectory import (SUCCESSFUL, budgets, halts, numbered, outcomes, repeats, retries,
-                                           step_state)
+from planloom.operators.ordered import MAX_GROUP_ROWS, Ordered, latest
+from planloom.operators.trajectory import (SUCCESSFUL, budgets, halts, masked_pads, numbered, outcomes, repeats, retries, step_state,
+                                           truncated_pads)
 from planloom.plans.tables import table
 from planloom.session import scratch_path
 from planloom.streaming.guard import live_guard
@@ -41,7 +41,12 @@ def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trajectories(spark: SparkSession, sf_dir: str, max_rows: int = MAX_GROUP_ROWS) -> Ordered:
-    return numbered(assessed(spark, sf_dir), ["query_id"], ["ts", "event_id"], max_rows)
+    return numbered(assessed(spark, sf_dir), ["query_id"], ["ts", "event_id"], max_rows, _keys(spark, sf_dir))
+
+
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many rows of each trajectory, to look for oversized ones, without the work on their texts."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"))
 
 
 def action_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +82,37 @@ def trajectory_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectories(spark, sf_dir).rows().select("query_id", "step", "action", "observation", "state")
 
 
+def pads(spark: SparkSession, sf_dir: str, max_rows: int = MAX_GROUP_ROWS) -> Ordered:
+    """Steps with the end of their scratchpad: the two outputs before, a thought that quotes its own, and the action."""
+    seq = trajectories(spark, sf_dir, max_rows).with_columns(success=F.col("state") == SUCCESSFUL, observation=F.concat(
+        F.lit(" "), F.coalesce("observation", F.lit("")), F.lit(" of "), F.col("event_id").cast("string"), F.lit("\n")))
+    seq = seq.running(_one=latest(F.col("observation"), inclusive=False))
+    seq = seq.running(_two=latest(F.col("_one"), inclusive=False))
+    line = lambda back, text: F.concat(F.lit("Observation "), (F.col("step") - back).cast("string"), F.lit(":"), text)
+    return seq.with_columns(pad=F.concat_ws("\n", line(2, F.col("_two")), line(1, F.col("_one")), F.concat(
+        F.lit("Action "), F.col("step").cast("string"), F.lit(": "), F.col("action"))))
+
+
+def masked_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each step's pad without the output of the latest step before it that succeeded."""
+    return masked_pads(pads(spark, sf_dir), "pad", "observation", "success").rows().select("query_id", "step", F.md5("masked").alias("masked_md5"))
+
+
+def pad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trajectories as lines: actions, and observations of as many words as their value says."""
+    acts = actions(spark, sf_dir)
+    words = F.repeat(F.lit("w "), F.col("value").cast("int") % 7)
+    both = F.array(F.struct(F.lit(0).alias("part"), F.concat(F.lit("Action: "), F.col("action")).alias("line")), F.struct(F.lit(1).alias("part"), F.concat(
+        F.lit("Observation "), F.col("event_id").cast("string"), F.lit(": "), words, F.col("observation")).alias("line")))
+    return acts.select("query_id", F.col("event_id").alias("_event"), F.inline(both)).select("query_id", (F.col("_event") * 2 + F.col("part")).alias("pos"), "line")
+
+
+def truncated_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scratchpads of rows cut to 150 words."""
+    found = truncated_pads(pad_lines(spark, sf_dir), ["query_id"], "pos", "line", 150)
+    return found.select("query_id", "pos", "cut", F.md5("line").alias("line_md5"))
+
+
 def live_halts(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
     """The three rules over the events as a stream of files, in the order of time."""
     rows = assessed(spark, sf_dir).select("query_id", "ts", "event_id", "action", "observation",
@@ -101,6 +137,8 @@ QUERIES = {
     "budget_halt": budget_halt,
     "trajectory_outcomes": trajectory_outcomes,
     "trajectory_log": trajectory_log,
+    "masked_observation": masked_observation,
+    "truncated_trajectories": truncated_trajectories,
     "live_guard": live_halts,
 }
 
@@ -142,6 +180,23 @@ SQL = {
           (PARTITION BY query_id, epoch, tool ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 3
           THEN 'early stop after retries' END AS reason FROM epochs WINDOW w AS (PARTITION BY query_id ORDER BY step))
         SELECT query_id, min(step) AS halt_step, arg_min(reason, step) AS reason FROM ruled WHERE reason IS NOT NULL GROUP BY query_id""",
+    "masked_observation": _TRAJECTORIES + """, seen AS (SELECT query_id, step, action, state = 'Successful' AS ok,
+          props.t AS observation FROM (SELECT *, {'t': ' ' || coalesce(observation, '') || ' of ' || event_id || chr(10)} AS props FROM steps)),
+        told AS (SELECT *, lag(observation, 1) OVER w AS one, lag(observation, 2) OVER w AS two,
+          trim(last_value(CASE WHEN ok THEN observation END IGNORE NULLS) OVER (PARTITION BY query_id ORDER BY step
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ' ' || chr(10)) AS stale FROM seen WINDOW w AS (PARTITION BY query_id ORDER BY step)),
+        shown AS (SELECT *, coalesce('Observation ' || (step - 2) || ':' || two || chr(10), '') || coalesce('Observation ' || (step - 1) || ':'
+          || one || chr(10), '') || 'Action ' || step || ': ' || action AS pad FROM told)
+        SELECT query_id, step, md5(CASE WHEN ok AND stale <> '' THEN replace(pad, stale,
+          'Masked due to limited length. Make sure the data has been written in Notebook.') ELSE pad END) AS masked_md5 FROM shown""",
+    "truncated_trajectories": _TRAJECTORIES + """, parts AS (SELECT query_id, event_id * 2 AS pos, 'Action: ' || action AS line FROM acts
+        UNION ALL SELECT query_id, event_id * 2 + 1, 'Observation ' || event_id || ': ' || repeat('w ', CAST(trunc(value) AS INTEGER) % 7) || observation FROM acts),
+        sized AS (SELECT *, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> '')) AS size, starts_with(line, 'Observation') AS seen,
+          split_part(line, ':', 1) || ': [truncated wikipedia excerpt]' AS short FROM parts),
+        ranked AS (SELECT *, sum(size) OVER (PARTITION BY query_id) - coalesce(sum(CASE WHEN seen THEN size - len(string_split(short, ' ')) ELSE 0 END)
+          OVER (PARTITION BY query_id ORDER BY seen DESC, size DESC, pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 150 AS wanted FROM sized),
+        done AS (SELECT *, bool_and(wanted AND seen) OVER (PARTITION BY query_id ORDER BY seen DESC, size DESC, pos DESC) AS cut FROM ranked)
+        SELECT query_id, pos, cut, md5(CASE WHEN cut THEN short ELSE line END) AS line_md5 FROM done""",
     "trajectory_outcomes": _TRAJECTORIES + " SELECT state, count(*) AS steps FROM acts GROUP BY state",
     "trajectory_log": _TRAJECTORIES + " SELECT query_id, step, action, observation, state FROM steps",
 }

@@ -2,15 +2,55 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from planloom.session import staged
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Line-delimited objects. Without a schema Spark infers one, at the price of a further pass."""
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.json(path)
+    """Line-delimited objects. Without a schema it is inferred, at the price of a further pass."""
+    return read_inferred(spark, path) if schema is None else spark.read.schema(schema).json(path)
+
+
+def _resolved(kind: str) -> tuple[T.DataType, str]:
+    """The type that the beginning of a variant's schema names, and the rest.
+
+    Whole numbers stay whole, other numbers are doubles; a field that is of several kinds, or null everywhere, is text.
+    """
+    name, rest = re.match(r"([A-Z_]+(?:\([0-9, ]+\))?)(.*)", kind, re.S).groups()
+    if name == "ARRAY":
+        item, rest = _resolved(rest[1:])
+        return T.ArrayType(item), rest[1:]
+    if name == "OBJECT":
+        fields, rest = [], rest[1:]
+        while not rest.startswith(">"):
+            quoted, plain, rest = re.match(r"(?:`((?:[^`]|``)*)`|([^:`]+)): ?(.*)", rest.lstrip(", "), re.S).groups()
+            found, rest = _resolved(rest)
+            fields.append(T.StructField(plain if quoted is None else quoted.replace("``", "`"), found))
+        return T.StructType(fields), rest[1:]
+    number = T.DoubleType() if name.startswith("DECIMAL") or name in ("DOUBLE", "FLOAT") else None
+    return number or {"BIGINT": T.LongType(), "BOOLEAN": T.BooleanType()}.get(name, T.StringType()), rest
+
+
+def inferred_schema(texts: DataFrame, column: str) -> T.StructType:
+    """One schema of all JSON objects in a text column, merged by Spark from partial schemas; texts that are no JSON are passed over."""
+    kind = texts.agg(F.schema_of_variant_agg(F.try_parse_json(column))).first()[0]
+    if not (kind or "").startswith("OBJECT"):
+        raise ValueError(f"no table of objects, but {kind}")
+    return _resolved(kind)[0]
+
+
+def read_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """Line-delimited objects without a schema: a pass over all lines merges their types, a second one reads them.
+
+    A field that only some lines have is null in the others. A line that is no object is a row of nulls.
+    """
+    lines = spark.read.text(path)
+    schema = inferred_schema(lines, "value")
+    return lines.select(F.from_json("value", schema).alias("_row")).select("_row.*")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -69,13 +109,42 @@ def upsert(existing: DataFrame | None, new: DataFrame, keys: Sequence[str], vers
     return rows.groupBy(*keys).agg(F.max(version).alias(version), *latest)
 
 
+def upsert_in_place(new: DataFrame, path: str, keys: Sequence[str], version: str, split: str) -> None:
+    """``upsert`` into the dataset at ``path``, partitioned by ``split`` (one of ``keys``); other partitions keep their files.
+
+    Only partitions that ``new`` has rows of are read and replaced. Their merged rows are written to the shared folder first, as a
+    dataset cannot be read and replaced at once. Without a dataset at ``path`` it is made. Null values of ``split`` are a partition.
+    """
+    spark = new.sparkSession
+    new = staged(new, "new")
+    existing: DataFrame | None = None
+    if _exists(spark, path):
+        existing = spark.read.parquet(path)
+        touched = new.select(F.col(split).alias("_touched")).distinct()
+        existing = existing.join(touched, existing[split].eqNullSafe(touched["_touched"]), "left_semi")
+    merged = staged(upsert(existing, new, keys, version), "merged")
+    (merged.repartition(split, F.pmod(F.xxhash64(*keys), F.lit(_spread(spark)))).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(split).parquet(path))
+
+
+def _spread(spark: SparkSession) -> int:
+    """Into how many files a large partition is written."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
 def first_rows(df: DataFrame, order: Sequence[str | Column], samples: int) -> DataFrame:
     """The first ``samples`` rows in a stated order; 0 or less means all. Filters come after, if any."""
     return df.orderBy(*order).limit(samples) if samples > 0 else df
 
 
 def profile(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Row count, column names and the first record as JSON."""
+    """Row count, column names, their types, and the first record as JSON."""
     first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order))
     return df.agg(F.count("*").alias("rows"), first.alias("first")).select(
-        "rows", F.to_json("first").alias("first_record"), F.lit(",".join(df.columns)).alias("columns"))
+        "rows", F.to_json("first").alias("first_record"), F.lit(",".join(df.columns)).alias("columns"),
+        F.lit(",".join(f.dataType.simpleString() for f in df.schema)).alias("types"))
