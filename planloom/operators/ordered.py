@@ -156,7 +156,7 @@ def arrange(df: DataFrame, keys: Sequence[str], order: Sequence[str], measure: D
     With no ``keys`` the whole table is one ordered group, which is always sliced.
     """
     if not keys:
-        return Ordered(_slices(df, [], order, None), [], order, True)
+        return Ordered(_slices(df, [], order, -(-df.count() // max_rows) + 1), [], order, True)
     big = oversized_keys(df if measure is None else measure, keys, max_rows)
     if big.isEmpty():
         return Ordered(df, keys, order, False)
@@ -169,7 +169,7 @@ def arrange(df: DataFrame, keys: Sequence[str], order: Sequence[str], measure: D
     return Ordered(usual.unionByName(large), keys, order, True)
 
 
-def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None) -> DataFrame:
+def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int) -> DataFrame:
     """Range-partition by key and order; written once, so that a slice never changes on a recomputation."""
-    ranged = df.repartitionByRange(*([parts] if parts else []), *keys, *order)
+    ranged = df.repartitionByRange(parts, *keys, *order)
     return staged(ranged.withColumn(_SLICE, F.spark_partition_id() + 1), "slices")

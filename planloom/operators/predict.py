@@ -70,6 +70,33 @@ def with_retries(df: DataFrame, prompt: str, responder: Responder, out: str, att
     return answered
 
 
+def with_ledger(df: DataFrame, key: str, prompt: str, responder: Callable[[str, int], str | None], out: str, ledger: str,
+                attempts: int = 3) -> DataFrame:
+    """Answers with every attempt on record: rows (``key``, ``attempt``, ``answer``) are appended to the table at ``ledger``.
+
+    ``responder`` gets the prompt and the number of the attempt, from 1. Only rows without a good answer in the ledger are asked, so
+    a run that was broken off, or one with more attempts, goes on where the last one ended. The answer of a row is its
+    last attempt's. Rows without a prompt are not asked and have the usual error. ``key`` must tell the rows apart.
+    """
+    text = F.col(f"`{prompt}`")
+    asked = df.where(text.isNotNull() & (text != "")).select(F.col(key).alias("_key"), text.alias("_text"))
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("attempt", T.IntegerType()), T.StructField("answer", T.StringType())])
+    spark = df.sparkSession
+    told = lambda: spark.read.schema(schema).parquet(ledger).select(F.col(key).alias("_told"), "attempt", "answer")
+    spark.createDataFrame([], schema).write.mode("append").parquet(ledger)
+    for attempt in range(1, attempts + 1):
+        # a key is done with a good answer, or with as many attempts as this round is
+        done = told().groupBy("_told").agg(F.max("attempt").alias("tried"), F.bool_or(~is_error(F.col("answer"))).alias("good")).where(
+            F.col("good") | (F.col("tried") >= attempt))
+        open_rows = asked.join(done, asked["_key"].eqNullSafe(done["_told"]), "left_anti")
+        answer = _answers(F.col("_text"), lambda t, n=attempt: responder(t, n))
+        open_rows.select(F.col("_key").alias(key), F.lit(attempt).alias("attempt"), answer.alias("answer")).write.mode("append").parquet(ledger)
+    final = told().groupBy("_told").agg(F.max_by("answer", "attempt").alias("_answer"), F.max("attempt").alias("attempts"))
+    joined = df.join(final, df[key].eqNullSafe(final["_told"]), "left")
+    return joined.withColumn(out, F.coalesce("_answer", F.lit(MISSING_PROMPT))).withColumn(
+        "attempts", F.coalesce("attempts", F.lit(0))).drop("_told", "_answer")
+
+
 def two_stages(df: DataFrame, prompt: str, first: Responder, second: Responder,
                between: str = "information_and_constraints", out: str = "step_by_step_plan") -> DataFrame:
     """Feed the answers of one responder to another; both columns stay. Rows without a prompt are left out."""

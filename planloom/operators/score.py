@@ -91,6 +91,23 @@ def model_comparison(df: DataFrame, id_col: str, golden: str, predictions: Seque
     return keep.drop("level").withColumn("solve_rate", rate(F.col("solved"), F.col("samples")))
 
 
+def transitions(df: DataFrame, before: Column, after: Column, by: Sequence[str] = ()) -> DataFrame:
+    """How a second answer changes the outcome of a first one: paired counts per group, with a total over the groups (nulls).
+
+    ``corrected`` is the share of wrong first answers that the second one mends, ``broken`` that of right ones that it spoils; null
+    where there is none. A null outcome is a wrong one. The total adds up the groups' counts.
+    """
+    first, second = F.coalesce(before, F.lit(False)), F.coalesce(after, F.lit(False))
+    cells = {"stayed_right": first & second, "right_to_wrong": first & ~second, "wrong_to_right": ~first & second, "stayed_wrong": ~first & ~second}
+    counts = df.groupBy(*by).agg(*[F.count_if(hit).alias(name) for name, hit in cells.items()])
+    if by:
+        summed = counts.rollup(*by).agg(*[F.sum(name).alias(name) for name in cells], F.grouping_id().alias("_level"))
+        counts = summed.where(F.col("_level").isin(0, 2 ** len(by) - 1)).drop("_level")
+    return counts.withColumns({
+        "corrected": rate(F.col("wrong_to_right"), F.col("wrong_to_right") + F.col("stayed_wrong")),
+        "broken": rate(F.col("right_to_wrong"), F.col("right_to_wrong") + F.col("stayed_right"))})
+
+
 def within_budget(steps: DataFrame, plan: str, cost: Column, budget: Column) -> DataFrame:
     """Sum of the numeric step costs of each plan against its budget; other costs are ignored."""
     amount = F.coalesce(F.sum(cost.try_cast(MONEY)), F.lit(0).cast(MONEY))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from planloom.functions.clock import slot
-from planloom.operators.score import model_comparison, paired, solve_rate
+from planloom.operators.score import model_comparison, paired, same_slot, solve_rate, transitions
 from planloom.plans.tables import table
 from planloom.session import spread
 
@@ -49,6 +49,12 @@ def compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_comparison(slots(spark, sf_dir), "id", "golden_plan", [MODEL_A, MODEL_B], ["num_people"])
 
 
+def self_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first model's answers to the second's, per number of people and in all."""
+    hit = lambda c: same_slot(F.col(f"`{c}`"), F.col("golden_plan"))
+    return transitions(slots(spark, sf_dir), hit(MODEL_A), hit(MODEL_B), ["num_people"])
+
+
 def paired_solve_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers and golden texts in two tables, some golden texts missing, paired by id."""
     rows = slots(spark, sf_dir)
@@ -68,6 +74,7 @@ QUERIES = {
     "slot_solve_by_group": slot_solve_by_group,
     "model_comparison": compare_models,
     "slot_values": slot_values,
+    "self_correction": self_correction,
     "paired_solve_rate": paired_solve_rate,
 }
 
@@ -87,6 +94,11 @@ SQL = {
     "model_comparison": f"""{_SLOTS}, long AS (SELECT '{MODEL_A}' AS model, num_people, hit_a AS hit FROM slots
         UNION ALL SELECT '{MODEL_B}', num_people, hit_b FROM slots)
         SELECT model, num_people, {_RATE.format('hit')} FROM long GROUP BY GROUPING SETS ((model, num_people), (model))""",
+    "self_correction": f"""{_SLOTS}, cells AS (SELECT num_people, count(*) FILTER (hit_a AND hit_b) AS stayed_right,
+        count(*) FILTER (hit_a AND NOT hit_b) AS right_to_wrong, count(*) FILTER (hit_b AND NOT hit_a) AS wrong_to_right,
+        count(*) FILTER (NOT hit_a AND NOT hit_b) AS stayed_wrong FROM slots GROUP BY GROUPING SETS ((num_people), ()))
+        SELECT *, round(wrong_to_right / nullif(wrong_to_right + stayed_wrong, 0)::DOUBLE, 6) AS corrected,
+        round(right_to_wrong / nullif(right_to_wrong + stayed_right, 0)::DOUBLE, 6) AS broken FROM cells""",
     "slot_values": f"""{_SLOTS}, found AS (SELECT CASE WHEN lost THEN '' ELSE
         list_element(['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday'], CAST(day + 1 AS INTEGER)) END AS day,
         CASE WHEN lost THEN -1 ELSE hour + half + CASE WHEN id % 4 = 0 THEN 2 ELSE 0 END END::DOUBLE AS start_hour,

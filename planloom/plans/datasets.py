@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from planloom.functions.text import judged
-from planloom.operators.predict import is_error, map_rows, prediction_column, two_stages, with_predictions, with_retries
+from planloom.operators.predict import is_error, map_rows, prediction_column, two_stages, with_ledger, with_predictions, with_retries
 from planloom.plans.tables import table
 from planloom.session import scratch_path
-from planloom.sources.files import (first_rows, profile, read_jsonl, read_preferences, read_split, require_columns, require_rows,
-                                    upsert_in_place, write_dataset, write_jsonl)
+from planloom.sources.files import (INPUT_ORDER, first_rows, profile, read_jsonl, read_preferences, read_split, require_columns, require_rows,
+                                    upsert_in_place, with_input_order, write_dataset, write_jsonl)
 from planloom.sources.ids import with_positional_id
 from planloom.sources.keyed_json import json_text, read_keyed_json, write_entries, write_keyed_json
 
@@ -108,6 +108,39 @@ def positional_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_positional_id(event, "id", ["ts", "event_id"]).select("event_id", "id")
 
 
+def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as several files of lines, in the order of their ids, read with the order of the input."""
+    event = table(spark, sf_dir, "events").select(
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("id"), "event_id", "event_type")
+    path = scratch_path(spark, "lines")
+    write_jsonl(event.repartitionByRange(3, F.col("event_id")).sortWithinPartitions("event_id"), path)
+    return with_input_order(read_jsonl(spark, path, event.schema))
+
+
+def input_order_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing ids by the number of the line over all files."""
+    return with_positional_id(_event_lines(spark, sf_dir), "id", INPUT_ORDER).select("event_id", "id")
+
+
+def first_examined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 500 lines examined; those of other kinds are dropped afterwards."""
+    return first_rows(_event_lines(spark, sf_dir), INPUT_ORDER, 500).where("event_type = 'click'").select("event_id", "id")
+
+
+def predict_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A responder that recovers: some prompts fail at first, some never succeed; a second run asks only what is still open."""
+    def unsteady(text: str, attempt: int) -> str:
+        kind = len(text) % 5
+        if kind == 0 or kind == 1 and attempt < 2 or kind == 2 and attempt < 4:
+            raise ValueError(f"try {attempt}")
+        return f"answer {attempt}"
+    turns = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.when(F.col("turn") != 2, F.translate("text", "\n", " ")).alias("prompt"))
+    path = scratch_path(spark, "ledger")
+    with_ledger(turns, "turn_id", "prompt", unsteady, "answer", path, attempts=2)
+    return with_ledger(turns, "turn_id", "prompt", unsteady, "answer", path, attempts=4).select("turn_id", "answer", "attempts")
+
+
 def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(table(spark, sf_dir, "conversations"), ["conv_id", "turn"]).select(
         "rows", "columns", "types", F.get_json_object("first_record", "$.role").alias("first_role"))
@@ -181,6 +214,9 @@ QUERIES = {
     "dataset_profile": dataset_profile,
     "predict_append": predict_append,
     "predict_retry": predict_retry,
+    "input_order_id": input_order_id,
+    "first_examined": first_examined,
+    "predict_ledger": predict_ledger,
     "two_stage": two_stage,
 }
 
@@ -218,6 +254,14 @@ SQL = {
         ELSE 'index_' || (row_number() OVER (ORDER BY ts, event_id) - 1) END AS id FROM events""",
     "dataset_profile": """SELECT count(*) AS rows, 'conv_id,turn,role,text' AS columns, 'bigint,bigint,string,string' AS types,
         arg_min(role, conv_id * 1000 + turn) AS first_role FROM conversations""",
+    "input_order_id": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'e' || event_id
+        ELSE 'index_' || (row_number() OVER (ORDER BY event_id) - 1) END AS id FROM events""",
+    "first_examined": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'e' || event_id END AS id
+        FROM (SELECT * FROM events ORDER BY event_id LIMIT 500) WHERE event_type = 'click'""",
+    "predict_ledger": """WITH p AS (SELECT conv_id * 1000 + turn AS turn_id, CASE WHEN turn <> 2 AND text <> '' THEN length(text) % 5 END AS kind FROM conversations)
+        SELECT turn_id, CASE WHEN kind IS NULL THEN 'ERROR: Prompt key missing or empty' WHEN kind = 0 THEN 'ERROR: try 4'
+          WHEN kind = 1 THEN 'answer 2' WHEN kind = 2 THEN 'answer 4' ELSE 'answer 1' END AS answer,
+        CAST(CASE WHEN kind IS NULL THEN 0 WHEN kind = 0 OR kind = 2 THEN 4 WHEN kind = 1 THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM p""",
     "predict_append": _PROMPTS + " SELECT conv_id, turn, answer FROM answered",
     "predict_retry": _PROMPTS + """ SELECT starts_with(answer, 'ERROR:') AS failed, count(*) AS rows
         FROM answered GROUP BY 1""",

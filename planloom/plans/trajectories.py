@@ -10,7 +10,7 @@ from planloom.operators.trajectory import (SUCCESSFUL, budgets, halts, masked_pa
                                            truncated_pads)
 from planloom.plans.tables import table
 from planloom.session import scratch_path
-from planloom.streaming.guard import live_guard
+from planloom.streaming.guard import live_halts, run_guard
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,20 +113,17 @@ def truncated_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "pos", "cut", F.md5("line").alias("line_md5"))
 
 
-def live_halts(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
-    """The three rules over the events as a stream of files, in the order of time."""
+def live_halted(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
+    """The three rules over the events as a stream of files that come in the order of time; each run takes what has come and goes on from the last."""
     rows = assessed(spark, sf_dir).select("query_id", "ts", "event_id", "action", "observation",
                                           (F.col("state") == SUCCESSFUL).alias("success"))
     root = scratch_path(spark, "live")
     last = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 1
     for part in range(batches):
-        within = F.floor(F.col("event_id") * batches / last) == part
-        rows.where(within).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    query = live_guard(spark, stream, root, ["query_id"], ["ts", "event_id"],
-                       lambda: F.length("action") + F.length("observation"), max_steps=60, max_tokens=1200)
-    query.awaitTermination()
-    return spark.read.parquet(f"{root}/halts").drop("batch")
+        rows.where(F.floor(F.col("event_id") * batches / last) == part).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        run_guard(live_halts(stream, ["query_id"], ["ts", "event_id"], F.length("action") + F.length("observation"), max_steps=60, max_tokens=1200), root)
+    return spark.read.parquet(f"{root}/halts")
 
 
 QUERIES = {
@@ -139,7 +136,7 @@ QUERIES = {
     "trajectory_log": trajectory_log,
     "masked_observation": masked_observation,
     "truncated_trajectories": truncated_trajectories,
-    "live_guard": live_halts,
+    "live_guard": live_halted,
 }
 
 _TRAJECTORIES = """WITH base AS (SELECT user_id AS query_id, ts, event_id, value, props AS observation, event_type AS kind,

@@ -137,6 +137,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
 
 
+#: Columns by which rows of ``with_input_order`` are in the order of their files and lines.
+INPUT_ORDER = ("_file", "_block", "_line")
+
+
+def with_input_order(df: DataFrame) -> DataFrame:
+    """Rows of a file scan with the order in which its files hold them: by path, place of the block in the file, place in the block.
+
+    It must be asked of the scan itself, before any shuffle.
+    """
+    return df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()})
+
+
 def first_rows(df: DataFrame, order: Sequence[str | Column], samples: int) -> DataFrame:
     """The first ``samples`` rows in a stated order; 0 or less means all. Filters come after, if any."""
     return df.orderBy(*order).limit(samples) if samples > 0 else df

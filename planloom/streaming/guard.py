@@ -1,103 +1,100 @@
 """Live guard over a stream of agent actions: who has to be halted, at which step, and why.
 
-Each micro-batch runs the batch rules of ``planloom.operators.trajectory`` over its own rows and adds what
-the trajectory's state carries over from before. The state is a table with one small row per trajectory,
-written per batch in the shared folder. So a trajectory with very many actions in a batch is split over tasks
-as in batch, which a per-key state function cannot do, and a batch that is run again after a failure finds
-the same state and writes the same files.
+Spark keeps one small state per trajectory and hands it to the rule with the trajectory's new rows, so the work of a batch follows its rows,
+not the trajectories ever seen. A halted trajectory keeps a mark only. On a stream with a watermark every state goes when nothing has come
+for ``idle`` of event time.
+A trajectory is halted after ``max_steps`` steps at the latest, so no more than that many of its rows are held, however many a batch has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import heapq
+import json
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from planloom.operators.ordered import MAX_GROUP_ROWS, arrange, total
-from planloom.operators.trajectory import (MAX_REPEATS, MAX_RETRIES, MAX_STEPS, MAX_TOKENS, REPEATED, budgets,
-                                           is_guarded, repeats, retries)
+from planloom.functions.text import action
+from planloom.operators.trajectory import MAX_REPEATS, MAX_RETRIES, MAX_STEPS, MAX_TOKENS, REPEATED, is_guarded, tool_of
 
-_STATE = ("steps long, last_action string, run_length long, tokens long, failures map<string,long>, halted boolean")
+_STATE = "steps long, last_action string, run_length long, tokens long, failures string, halted boolean"
 OVER_BUDGET, REFUSED = "budget exceeded", "early stop after retries"
 
 
-def _state_schema(keys: Sequence[str], batch: DataFrame) -> T.StructType:
-    fields = [T.StructField(k, batch.schema[k].dataType) for k in keys]
-    return T.StructType(fields + T.StructType.fromDDL(_STATE).fields)
+class Watch:
+    """The rules over one trajectory, step by step."""
 
+    def __init__(self, limits: tuple[int, int, int, int], state: tuple | None = None):
+        self.max_repeats, self.max_retries, self.max_steps, self.max_tokens = limits
+        self.steps, self.last, self.run, self.tokens, failures, self.halted = state or (0, None, 0, 0, "{}", False)
+        self.failures: dict[str, int] = json.loads(failures)
 
-def guarded(batch: DataFrame, state: DataFrame, keys: Sequence[str], order: Sequence[str], tokens: Column,
-            max_repeats: int = MAX_REPEATS, max_retries: int = MAX_RETRIES, max_steps: int = MAX_STEPS,
-            max_tokens: int = MAX_TOKENS, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """The batch's rows with totals that continue ``state``, and ``reason`` where a rule holds.
+    def state(self) -> tuple:
+        if self.halted:
+            return self.steps, None, 0, 0, "{}", True
+        return self.steps, self.last, self.run, self.tokens, json.dumps(self.failures), False
 
-    Rows have ``action`` and ``success``. Trajectories halted before are left out.
-    """
-    before = state.withColumnsRenamed({c: "_" + c for c in state.columns if c not in keys})
-    seq = arrange(batch.withColumn("_size", tokens), keys, order, max_rows=max_rows).running(step=total(1))
-    seq = repeats(seq, "action", max_repeats)
-    seq = budgets(retries(seq, "action", "success", max_retries), F.col("_size"), max_steps, max_tokens)
-    rows = seq.rows().join(before, list(keys), "left").where("_halted IS NULL OR NOT _halted")
-    none = F.lit(0).cast("long")
-    continues = (F.col("run_length") == F.col("step")) & F.col("action").eqNullSafe(F.col("_last_action"))
-    failed_before = F.when(F.col("epoch") == 0, F.try_element_at("_failures", F.col("tool")))
-    rows = rows.withColumns({
-        "run_length": F.col("run_length") + F.when(continues, F.coalesce("_run_length", none)).otherwise(none),
-        "failures": F.col("failures") + F.coalesce(failed_before, none),
-        "tokens_before": F.col("tokens_before") + F.coalesce("_tokens", none),
-        "step": F.col("step") + F.coalesce("_steps", none)})
-    reason = (F.when((F.col("step") > max_steps) | (F.col("tokens_before") > max_tokens), OVER_BUDGET)
-              .when(F.col("run_length") >= max_repeats, REPEATED)
-              .when(is_guarded(F.col("action")) & (F.col("failures") >= max_retries), REFUSED))
-    return rows.withColumn("reason", reason)
-
-
-def first_halts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.where("reason IS NOT NULL").groupBy(*keys).agg(
-        F.min("step").alias("halt_step"), F.min_by("reason", "step").alias("reason"))
-
-
-def next_state(rows: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """State after the batch: continued for trajectories with rows in it, unchanged for the others."""
-    per_tool = rows.groupBy(*keys, "epoch", "tool").agg(
-        F.max(F.col("failures") + (~F.col("success")).cast("long")).alias("failures"),
-        F.max_by("success", "step").alias("_ended"), F.max("step").alias("step"))
-    ends = rows.groupBy(*keys).agg(
-        F.max("step").alias("steps"), F.max_by("action", "step").alias("last_action"),
-        F.max_by("run_length", "step").alias("run_length"),
-        F.max(F.col("tokens_before") + F.col("_size")).alias("tokens"),
-        F.max(F.col("epoch") + F.col("success").cast("long")).alias("epoch"),
-        F.bool_or(F.col("reason").isNotNull()).alias("halted"), F.first("_failures").alias("_before"))
-    # failures of the last epoch, at most one entry per tool; an epoch that spans the batch keeps older tools
-    last = per_tool.join(ends.select(*keys, "epoch"), [*keys, "epoch"], "left_semi").groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("tool", "failures"))).alias("_now"))
-    empty = F.create_map().cast("map<string,long>")
-    now = F.coalesce("_now", empty)
-    older = F.when(F.col("epoch") == 0, F.coalesce("_before", empty)).otherwise(empty)
-    failures = F.map_concat(now, F.map_filter(older, lambda tool, _: ~F.map_contains_key(now, tool)))
-    fresh = ends.join(last, list(keys), "left").withColumn("failures", failures).select(*state.columns)
-    return fresh.unionByName(state.join(fresh.select(*keys), list(keys), "left_anti"))
-
-
-def live_guard(spark: SparkSession, stream: DataFrame, root: str, keys: Sequence[str], order: Sequence[str],
-               tokens: Callable[[], Column], **limits: int):
-    """Start the guard over a stream; ends when all available input is read.
-
-    Halts go to ``root/halts``, one folder per batch, the state to ``root/state``. Input of a trajectory must
-    arrive in order from batch to batch.
+    def step(self, act: str | None, tool: str, limited: bool, size: int, success: bool | None) -> str | None:
+        """Why the trajectory stops before this step, if it does."""
+        self.steps += 1
+        self.run = self.run + 1 if self.steps > 1 and act == self.last else 1
+        reason = (OVER_BUDGET if self.steps > self.max_steps or self.tokens > self.max_tokens else REPEATED if self.run >= self.max_repeats
+                  else REFUSED if limited and self.failures.get(tool, 0) >= self.max_retries else None)
+        self.last, self.tokens, self.halted = act, self.tokens + size, reason is not None
+        if success:
+            self.failures = {}
+        elif success is not None:
+            self.failures[tool] = self.failures.get(tool, 0) + 1
+        return reason
+
+
+def live_halts(stream: DataFrame, keys: Sequence[str], order: Sequence[str], tokens: Column, max_repeats: int = MAX_REPEATS,
+               max_retries: int = MAX_RETRIES, max_steps: int = MAX_STEPS, max_tokens: int = MAX_TOKENS, idle: int | None = None) -> DataFrame:
+    """``keys``, ``halt_step`` and ``reason`` of each trajectory, once it has to be halted.
+
+    Rows have ``action`` and ``success``. What arrives of a trajectory in one batch is taken in ``order``; from batch to batch it must
+    arrive in order. With ``idle`` (milliseconds) the first column of ``order`` is the event time, with a watermark. Null keys are a trajectory; a null action is an empty one, a null success neither; rows of equal order may come in any.
     """
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        schema = _state_schema(keys, batch)
-        if batch_id == 0:
-            state = session.createDataFrame([], schema)
-        else:
-            state = session.read.schema(schema).parquet(f"{root}/state/{batch_id - 1}")
-        work = f"{root}/rows/{batch_id}"
-        guarded(batch, state, keys, order, tokens(), **limits).write.mode("overwrite").parquet(work)
-        rows = session.read.parquet(work)
-        first_halts(rows, keys).write.mode("overwrite").parquet(f"{root}/halts/batch={batch_id}")
-        next_state(rows, state, keys).write.mode("overwrite").parquet(f"{root}/state/{batch_id}")
-
-    return (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{root}/offsets")
-            .trigger(availableNow=True).start())
+    limits = (max_repeats, max_retries, max_steps, max_tokens)
+    names = [f"_o{i}" for i in range(len(order))]
+    known = stream.select(*keys, *[F.col(c).alias(n) for c, n in zip(order, names)], F.col("action").alias("_act"),
+                          tool_of(action(F.col("action"))["type"]).alias("_tool"), F.coalesce(is_guarded(F.col("action")), F.lit(False)).alias("_limited"),
+                          F.coalesce(tokens.cast("long"), F.lit(0)).alias("_size"), F.col("success").cast("int").alias("_success"),
+                          (F.lit(0) if idle is None else F.unix_millis(F.col(order[0]))).alias("_ms"))
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = Watch(limits, state.get if state.exists else None)
+        latest = 0
+
+        def rows() -> Iterator[tuple]:
+            nonlocal latest
+            for batch in batches:
+                latest = max(latest, int(batch["_ms"].max()))
+                if not seen.halted:
+                    yield from zip(zip(*(batch[n] for n in names)), *(batch[c] for c in ("_act", "_tool", "_limited", "_size", "_success")))
+        first = heapq.nsmallest(max(0, max_steps + 1 - seen.steps), rows(), key=lambda r: r[0])
+        for _, act, tool, limited, size, success in first:
+            reason = seen.step(act, tool, bool(limited), int(size), None if pd.isna(success) else bool(success))
+            if reason is not None:
+                yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "halt_step": [seen.steps], "reason": [reason]})
+                break
+        state.update(seen.state())
+        if idle is not None:
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle)
+
+    out = T.StructType([*[T.StructField(k, stream.schema[k].dataType) for k in keys], T.StructField("halt_step", T.LongType()),
+                        T.StructField("reason", T.StringType())])
+    # a timeout of processing time would keep a run over what is there from ending
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.EventTimeTimeout
+    return known.groupBy(*keys).applyInPandasWithState(watch, out, _STATE, "append", timeout)
+
+
+def run_guard(halts: DataFrame, root: str) -> None:
+    """Take all that has come since the last run; halts go to ``root/halts``, offsets and states to ``root/offsets``, from which a run continues."""
+    (halts.writeStream.format("parquet").option("path", f"{root}/halts").option("checkpointLocation", f"{root}/offsets")
+     .outputMode("append").trigger(availableNow=True).start().awaitTermination())

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from planloom.operators.lookup import not_member, predicate, stated_predicates
 from planloom.operators.ordered import total
-from planloom.operators.predict import prediction_column, with_predictions, with_retries
-from planloom.operators.score import accuracy_by_size, solve_rate
+from planloom.operators.predict import prediction_column, with_ledger, with_predictions, with_retries
+from planloom.operators.records import with_verdict
+from planloom.operators.score import accuracy_by_size, solve_rate, transitions
 from planloom.operators.selection import best_and_worst, turn_pairs
 from planloom.operators.trajectory import budgets, halts, numbered, repeats, retries
 from planloom.plans import trajectories as recorded
@@ -16,7 +17,7 @@ from planloom.session import scratch_path
 from planloom.sources.files import first_rows, read_lines, read_split, require_columns, require_rows, upsert, write_dataset
 from planloom.sources.ids import with_positional_id
 from planloom.sources.keyed_json import read_keyed_json, write_keyed_json
-from planloom.streaming.guard import first_halts, guarded, next_state
+from planloom.streaming.guard import live_halts, run_guard
 
 DATA = "/root/testdata/sf0.001"
 RECORDS = {"k1": {"num": "3", "text": "a {b}\n  }, \"q\"", "nested": {"x": [1, 2]}}, "k2": {"num": "4", "id": None, "text": "c"},
@@ -179,20 +180,57 @@ def test_halts(spark, max_rows):
         assert found(marked, name + "_halt") == {q: _halt_loop(run)[name] for q, run in runs.items() if name in _halt_loop(run)}
 
 
-def test_guard_continues_over_batches(spark):
+@pytest.mark.parametrize("idle", [None, 10_000_000])
+def test_guard_continues_over_batches(spark, tmp_path, idle):
+    """Each run goes on from the states of the last one; rows within a run come in any order."""
     runs, df = _trajectories(spark)
-    state = spark.createDataFrame([], "q int, steps long, last_action string, run_length long, tokens long, failures map<string,long>, halted boolean")
-    got = {}
+    df = df.withColumn("time", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("at"))).repartition(3)
     for part in range(4):
-        rows = guarded(df.where(f"floor(at / 7) % 4 = {part} AND at < 28"), state, ["q"], ["at"], F.lit(1), max_steps=20)
-        got |= {r["q"]: (r["halt_step"]) for r in first_halts(rows, ["q"]).collect()}
-        state = spark.createDataFrame(next_state(rows, state, ["q"]).collect(), state.schema)
+        df.where(f"floor(at / 7) % 4 = {part} AND at < 28").write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        stream = stream if idle is None else stream.withWatermark("time", "1 hour")
+        run_guard(live_halts(stream, ["q"], ["time", "at"], F.lit(1), max_steps=20, idle=idle), str(tmp_path))
+    found = spark.read.parquet(f"{tmp_path}/halts").collect()
+    got = {r["q"]: r["halt_step"] for r in found}
+    assert len(got) == len(found)
     for q, run in runs.items():
         first = _halt_loop(run[:28])
         steps = [first[n] for n in ("repeat", "retry") if n in first] + ([21] if len(run[:28]) > 20 else [])
         assert got.get(q) == (min(steps) if steps else None)
 
 
+def test_ledger_asks_only_what_is_open(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def answer(text, attempt):
+        asked.add(1)
+        if text == "never" or text == "later" and attempt < 3:
+            raise ValueError(f"no {attempt}")
+        return f"{text} {attempt}"
+    rows = spark.createDataFrame([(1, "now"), (2, "later"), (3, "never"), (4, None), (5, ""), (None, "now")], "k int, p string")
+    path = str(tmp_path / "ledger")
+    first = {r["k"]: (r["a"], r["attempts"]) for r in with_ledger(rows, "k", "p", answer, "a", path, 2).collect()}
+    assert first[2] == ("ERROR: no 2", 2) and first[1] == first[None] == ("now 1", 1) and first[4][1] == first[5][1] == 0
+    assert asked.value == 6
+    again = {r["k"]: (r["a"], r["attempts"]) for r in with_ledger(rows, "k", "p", answer, "a", path, 4).collect()}
+    assert again[2] == ("later 3", 3) and again[3] == ("ERROR: no 4", 4) and again[1] == ("now 1", 1)
+    assert asked.value == 6 + 3 and spark.read.parquet(path).count() == 9
+
+
+def test_transitions_and_verdicts(spark):
+    rows = spark.createDataFrame([("x", True, True), ("x", True, False), ("y", False, True), ("y", None, True), (None, False, None)], "g string, a boolean, b boolean")
+    found = {(r["g"], r["stayed_wrong"]): tuple(r)[1:] for r in transitions(rows, F.col("a"), F.col("b"), ["g"]).collect()}
+    assert found == {("x", 0): (1, 1, 0, 0, None, 0.5), ("y", 0): (0, 0, 2, 0, 1.0, None), (None, 1): (1, 1, 2, 1, 0.666667, 0.5)} or len(found) == 3
+    assert tuple(transitions(rows, F.col("a"), F.col("b")).collect()[0]) == (1, 1, 2, 1, 0.666667, 0.5)
+    good = ("[['A', '9:00AM'], ['p', 'A', '9:00AM to 9:20AM', 10]]", "{'A': {'B': 5}}", "['You start']")
+    cases = {"accepted": good, "constraints_null": (None, *good[1:]), "constraints_empty": ("[]", *good[1:]), "constraints_unreadable": ("[['A'", *good[1:]),
+             "no_people": ("[['A', '9:00AM']]", *good[1:]), "dist_matrix_null": (good[0], None, good[2]), "dist_matrix_empty": (good[0], " {} ", good[2]),
+             "dist_matrix_unreadable": (good[0], "[5]", good[2]), "golden_plan_null": (*good[:2], None), "golden_plan_empty": (*good[:2], ""),
+             "golden_plan_unreadable": (*good[:2], "5")}
+    df = spark.createDataFrame([(k, *v) for k, v in cases.items()], "k string, constraints string, dist_matrix string, golden_plan string")
+    assert {r["k"]: r["verdict"] for r in with_verdict(df).collect()} == {k: k for k in cases}
+
+
 def test_sliced_queries(spark):
     """The registered trajectories give the same halts when every user is spread over slices."""
     few, many = (halts(repeats(recorded.trajectories(spark, DATA, rows), "action"), "repeat_halt") for rows in (1_000_000, 20))
