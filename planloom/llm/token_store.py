@@ -33,7 +33,8 @@ from planloom.session import scratch_path, staged
 END_ID = 2
 SHARD_BYTES = 16 << 20
 BUCKET_KEYS = 4096
-MEMO_CHUNKS = 150_000
+#: Pieces whose ids a worker remembers in each of two generations: about 100 MB in all.
+MEMO_PIECES = 250_000
 _HEAD = "<qI"
 _HEAD_BYTES = struct.calcsize(_HEAD)
 _NULL = 1 << 31
@@ -52,17 +53,16 @@ _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer file; strings of special tokens are ordinary text.
+    """Ids of whole texts by a tokenizer file, as the library gives them.
 
-    A byte-level tokenizer cuts a text into pieces before it merges, so that equal pieces have equal ids. Its ids are
-    remembered per chunk of text (at most ``MEMO_CHUNKS``, then anew) and the library's model runs on new pieces only. Any other
-    tokenizer gets whole texts.
+    A byte-level tokenizer cuts a text into pieces before it merges, so that equal pieces have equal ids. The ids of pieces are
+    remembered, and the library's model runs on new pieces only. When ``MEMO_PIECES`` are new, those that were not
+    met since the last time are forgotten. A text that holds a special token's string, and any other tokenizer's text, goes to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
         with open(path, encoding="utf-8") as f:
@@ -70,16 +70,21 @@ class Encoder:
         first = made.get("pre_tokenizer") or {}
         self.by_piece = (first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
                          and made.get("normalizer") is None and made["model"]["type"] == "BPE")
-        self.model, self.memo, self.pieces = self.tokenizer.model, {}, {}
+        self.model, self.young, self.old = self.tokenizer.model, {}, {}
         self.letters = _byte_letters()
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
 
     def piece(self, text: str) -> bytes:
-        found = self.pieces.get(text)
+        found = self.young.get(text)
         if found is None:
-            ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
-            found = struct.pack(f"<{len(ids)}{'I' if self.wide else 'H'}", *ids)
+            found = self.old.get(text)
+            if found is None:
+                ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+                found = struct.pack(f"<{len(ids)}{'I' if self.wide else 'H'}", *ids)
             if len(text) <= _LONG:
-                self.pieces[text] = found
+                if len(self.young) >= MEMO_PIECES:
+                    self.old, self.young = self.young, {}
+                self.young[text] = found
         return found
 
     def chunk(self, text: str) -> bytes:
@@ -91,25 +96,17 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, little-endian, without an end id."""
-        if not self.by_piece:
+        if not self.by_piece or self.special and re.search(self.special, text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         return b"".join([self.chunk(c) for c in _CHUNK.findall(text)])
 
     def named(self, part: str) -> bytes:
         """Ids of what follows a space; of a line break and what follows it; or of a text's start, marked ``_START``."""
-        ids = self.memo.get(part)
-        if ids is None:
-            ids = self.chunk(part[1:] if part[0:1] == _START else part if part[0:1] == "\n" else " " + part)
-            if len(part) <= _LONG:
-                self.memo[part] = ids
-        return ids
+        return self.chunk(part[1:] if part[0:1] == _START else part if part[0:1] == "\n" else " " + part)
 
     def encode_all(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text. Texts with single spaces and line breaks only are cut at them, and each part is looked up once."""
-        odd = np.asarray(pc.match_substring_regex(texts, _ODD_SPACE)) if self.by_piece else np.ones(len(texts), bool)
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
-            self.pieces.clear()
+        odd = np.asarray(pc.match_substring_regex(texts, f"{_ODD_SPACE}|{self.special}" if self.special else _ODD_SPACE)) if self.by_piece else np.ones(len(texts), bool)
         plain = np.flatnonzero(~odd)
         out: list[bytes] = [b""] * len(texts)
         for i in np.flatnonzero(odd).tolist():
@@ -157,7 +154,7 @@ def separator(end_id: int, wide: bool) -> str:
     return raw.decode("ascii")
 
 
-def small(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``size`` bytes of its second column, of one row at least."""
     ends = np.cumsum(np.asarray(pc.binary_length(batch.column(1))))
     at = 0
