@@ -2,7 +2,7 @@
 
 Among all document rates between 0 and ``cap`` whose expected words meet each source's target, the one nearest to
 "every document once" in relative entropy is ``min(cap, exp(lambda_source * tilt))``. The dual is convex and separates by
-source; Newton steps on it (bracketed, so that they cannot leave the solution) are distributed aggregates over a
+source; Newton steps on it (bracketed, and several at once) are distributed aggregates over a
 histogram of (source, size), which holds all that the rates depend on. Rates become whole copies by
 systematic rounding in the order of size, and the few words that rounding leaves are settled by single documents.
 """
@@ -73,12 +73,22 @@ def _rate(lam: Column, tilt: Column, cap: int) -> Column:
     return F.least(F.lit(float(cap)), F.exp(lam * tilt))
 
 
+#: Lambdas that every source begins with, within the bounds; further ones are tried around each Newton step.
+_FIRST = (0.0, *(sign * x for x in (0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 16.0, 128.0) for sign in (-1.0, 1.0)))
+_AROUND = (0.0, *(sign * x for x in (1e-8, 1e-5, 1e-3, 1e-1) for sign in (-1.0, 1.0)))
+_WITHIN = (0.25, 0.5, 0.75)
+#: Sums are of decimals, so that they, and all that follows from them, are the same in whatever order rows come.
+_EXACT = "decimal(28,8)"
+
+
 def balanced_rates(cells: DataFrame, targets: DataFrame, cap: int = CAP, power: float = 0.5, steps: int = STEPS) -> DataFrame:
     """``lambda`` per source such that the expected words of ``cells`` (source, size, docs) meet the targets.
 
     A document's entropy counts ``mean * (size / mean) ** power`` times, so that its tilt is ``(size / mean) ** (1 - power)``:
-    with power 1 all documents of a source have one rate, with power 0 the rate follows the plain size. Each step is one
-    aggregate over the cells, written before the next. A source at its cap has no finite lambda and takes the bound.
+    with power 1 all documents of a source have one rate, with power 0 the rate follows the plain size. Each step is one aggregate over
+    the cells that tries several lambdas of every source: the Newton step from the best one so far, some about it, and some that divide
+    what is left of the bracket. Few steps are needed, and each is written before the next. A source at its cap
+    has no finite lambda and takes the bound.
     """
     same = lambda a, b: F.col(a + ".source").eqNullSafe(F.col(b + ".source"))
     mean = (F.col("t.source_size") / F.greatest(F.col("t.docs"), F.lit(1)))
@@ -88,23 +98,30 @@ def balanced_rates(cells: DataFrame, targets: DataFrame, cap: int = CAP, power:
         "c.source", "c.size", F.col("c.docs"), "t.target", F.pow(F.col("c.size") / mean, F.lit(1.0 - power)).alias("tilt")), "cells")
     state = staged(targets.where("source_size > 0").select(
         "source", "target", F.lit(-_REACH).alias("lo"), F.lit(_REACH).alias("hi"), F.lit(0.0).alias("lambda"),
-        F.lit(False).alias("done")), "lambda")
+        F.array(*map(F.lit, _FIRST)).alias("tried"), F.lit(False).alias("done")), "lambda")
     for _ in range(steps):
-        rate = _rate(F.col("s.lambda"), F.col("c.tilt"), cap)
+        asked = state.where("not done").select("source", "target", F.explode("tried").alias("at"))
+        rate = _rate(F.col("s.at"), F.col("c.tilt"), cap)
         words = F.col("c.docs") * F.col("c.size")
-        sums = tilted.alias("c").join(state.where("not done").alias("s"), same("c", "s")).groupBy(F.col("c.source").alias("source")).agg(
-            F.sum(words * rate).alias("met"), F.sum(F.when(rate < cap, words * F.col("c.tilt") * rate).otherwise(0.0)).alias("slope"))
-        gap = F.col("g.met") - F.col("s.target")
-        lo = F.when(gap < 0, F.col("s.lambda")).otherwise(F.col("s.lo"))
-        hi = F.when(gap >= 0, F.col("s.lambda")).otherwise(F.col("s.hi"))
-        newton = F.when(F.col("g.slope") > 0, F.col("s.lambda") - gap / F.col("g.slope"))
-        near = (F.abs(gap) <= TOLERANCE * F.col("s.target") + 1e-9) | (hi - lo < 1e-12)
-        following = F.when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
-        state = staged(state.alias("s").join(sums.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")) & ~F.col("s.done"), "left")
-                       .select("s.source", "s.target", F.when(F.col("s.done"), F.col("s.lo")).otherwise(lo).alias("lo"),
-                               F.when(F.col("s.done"), F.col("s.hi")).otherwise(hi).alias("hi"),
-                               F.when(F.col("s.done") | near, F.col("s.lambda")).otherwise(following).alias("lambda"),
-                               (F.col("s.done") | F.coalesce(near, F.lit(True))).alias("done")), "lambda")
+        sums = tilted.alias("c").join(asked.alias("s"), same("c", "s")).groupBy(
+            F.col("c.source").alias("source"), F.col("s.at").alias("at"), F.col("s.target").alias("target")).agg(
+            F.sum((words * rate).cast(_EXACT)).cast("double").alias("met"),
+            F.sum(F.when(rate < cap, words * F.col("c.tilt") * rate).otherwise(0.0).cast(_EXACT)).cast("double").alias("slope"))
+        gap = F.col("met") - F.col("target")
+        best = sums.groupBy("source").agg(
+            F.max(F.when(gap < 0, F.col("at"))).alias("_lo"), F.min(F.when(gap >= 0, F.col("at"))).alias("_hi"),
+            F.min_by(F.struct("at", "slope", gap.alias("gap")), F.struct(F.abs(gap), "at")).alias("best"))
+        both = state.alias("s").join(best.alias("g"), same("s", "g"), "left").select(
+            "s.*", F.greatest("s.lo", "g._lo").alias("_lo"), F.least("s.hi", "g._hi").alias("_hi"), "g.best")
+        near = (F.abs("best.gap") <= TOLERANCE * F.col("target") + 1e-9) | (F.col("_hi") - F.col("_lo") < 1e-12)
+        newton = F.col("best.at") - F.when(F.col("best.slope") > 0, F.col("best.gap") / F.col("best.slope")).otherwise(0.0)
+        width = F.greatest(F.abs(newton - F.col("best.at")), F.lit(1e-9))
+        tried = F.array(*[newton + width * x for x in _AROUND], *[F.col("_lo") + (F.col("_hi") - F.col("_lo")) * x for x in _WITHIN])
+        tried = F.array_distinct(F.filter(tried, lambda x: (x > F.col("_lo")) & (x < F.col("_hi"))))
+        ended = F.col("done") | F.coalesce(near, F.lit(True)) | (F.size(tried) == 0)
+        state = staged(both.select(
+            "source", "target", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.coalesce(F.when(~F.col("done"), F.col("best.at")), "lambda").alias("lambda"),
+            F.when(~ended, tried).alias("tried"), ended.alias("done")), "lambda")
         if state.where("not done").isEmpty():
             break
     return tilted.alias("c").join(state.alias("s"), same("c", "s"), "left").select(
@@ -161,20 +178,31 @@ def _rounded(sized: DataFrame, cells: DataFrame, rates: DataFrame, cap: int) ->
 
 
 def _settled(taken: DataFrame, targets: DataFrame, cap: int) -> DataFrame:
-    """Let the document nearest in size to what a source lacks (or has too much) be taken once more (or less)."""
+    """Let the documents nearest in size to what a source lacks (or has too much) be taken once more (or less).
+
+    They are looked for among one document for each source, size and number of copies, a table as small as the histogram; what they
+    change is joined with the documents once.
+    """
+    seen = F.struct("_order", "doc_id", "_i")
+    cells = staged(taken.where("size > 0").groupBy("source", "size", "copies").agg(F.count("*").alias("docs"), F.min(seen).alias("row")), "settle")
+    met = cells.groupBy("source").agg(F.sum(F.col("copies") * F.col("size") * F.col("docs")).alias("met"))
+    gap = targets.alias("t").join(met.alias("m"), _same("t", "m", "source")).select("t.source", (F.col("t.target") - F.col("m.met")).alias("gap"))
+    moves: DataFrame | None = None
     for _ in range(SETTLE_ROUNDS):
-        met = taken.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("met"))
-        gap = targets.alias("t").join(met.alias("m"), _same("t", "m", "source")).select(
-            "t.source", (F.col("t.target") - F.col("m.met")).alias("gap"))
-        able = F.when(F.col("g.gap") > 0, F.col("d.copies") < cap).otherwise(F.col("d.copies") > 0) & (F.col("d.size") > 0)
-        off = F.abs(F.abs(F.col("g.gap")) - F.col("d.size"))
-        rank = F.struct(off.alias("off"), F.col("d._order").alias("_order"), F.col("d.doc_id").alias("doc_id"), F.col("d.size").alias("size"),
-                        F.col("d._i").alias("_i"), F.signum("g.gap").cast("bigint").alias("by"))
-        chosen = taken.alias("d").join(gap.alias("g"), _same("d", "g", "source")).where(able & (off < F.abs(F.col("g.gap")))).groupBy(
-            F.col("d.source").alias("source")).agg(F.min(rank).alias("c")).select("source", "c.*")
-        same = _same("d", "c", "source", "doc_id", "_order", "size", "_i")
-        taken = staged(taken.alias("d").join(chosen.alias("c"), same, "left").select(
-            "d.doc_id", "d.source", "d.size", "d._order", "d._i",
-            (F.col("d.copies") + F.coalesce(F.col("c.by"), F.lit(0))).alias("copies")), "settled")
-    return taken.alias("d").join(targets.alias("t"), _same("d", "t", "source")).select(
-        "d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "d.copies", "d._order")
+        able = F.when(F.col("g.gap") > 0, F.col("c.copies") < cap).otherwise(F.col("c.copies") > 0)
+        off = F.abs(F.abs(F.col("g.gap")) - F.col("c.size"))
+        rank = F.struct(off.alias("off"), F.col("c.size").alias("size"), F.col("c.copies").alias("copies"), F.col("c.row").alias("row"),
+                        F.signum("g.gap").cast("bigint").alias("by"))
+        best = cells.alias("c").join(gap.alias("g"), _same("c", "g", "source")).where(able & (off < F.abs(F.col("g.gap")))).groupBy(
+            F.col("c.source").alias("source")).agg(F.min(rank).alias("move")).select("source", "move.*")
+        best = staged(best, "moves")
+        moves = best if moves is None else moves.unionByName(best)
+        gap = gap.alias("g").join(best.alias("b"), _same("g", "b", "source"), "left").select(
+            "g.source", (F.col("g.gap") - F.coalesce(F.col("b.by") * F.col("b.size"), F.lit(0))).alias("gap"))
+        # a document moves once
+        cells = cells.alias("c").join(best.alias("b"), _same("c", "b", "source", "size", "copies"), "left_anti")
+    moves = moves.select("source", "size", "row.*", "by")
+    return (taken.alias("d").join(targets.alias("t"), _same("d", "t", "source"))
+            .join(moves.alias("m"), _same("d", "m", "source", "doc_id", "_order", "size", "_i"), "left")
+            .select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target",
+                    (F.col("d.copies") + F.coalesce(F.col("m.by"), F.lit(0))).alias("copies"), "d._order"))
