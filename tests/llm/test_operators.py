@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from planloom.llm import context_tree, decontaminate, language, mixing, phrases, quality, repeats, run_index, simhash, token_store
 from planloom.llm.components import components
@@ -73,7 +74,7 @@ def brute_windows(rows, width, cut):
 def test_op1_reads_back_every_document(request, spark, table):
     df = request.getfixturevalue(table)
     got = Counter(tuple(r) for r in token_store.stored_tokens(df, tokenizer_path(), shard_bytes=100_000, bucket_keys=20).collect())
-    whole = token_store.encoder(tokenizer_path()).tokenizer
+    whole = Tokenizer.from_file(tokenizer_path())  # the library's own settings
     kept = [[i, np.array([*whole.encode(t, add_special_tokens=False).ids, 2], "<u4")] for i, t in plain_rows(df)]
     assert Counter((i, len(n), c) for i, _, n, c in ((r[0], r[1], range(r[2]), r[3]) for r in got.elements())) == Counter(
         (i, len(ids), zlib.crc32(ids.tobytes())) for i, ids in kept)
@@ -96,7 +97,10 @@ def test_op1_encoder_equals_the_library():
     rng = np.random.default_rng(2)
     letters = list("ab  \t\n\r\x0b\x1c\x85\xa0 　'sré1²!ñ中́\x02")
     texts = ["".join(rng.choice(letters, rng.integers(0, 14))) for _ in range(3000)] + [LONG, "", "a\nb c", " a", "a "]
-    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["<|endoftext|>", "<|endoftext|> a", "a <|endoftext|>\nb  c", "a<|endoftext|", "x<|endoftext|><|endoftext|>y"]
+    library = Tokenizer.from_file(tokenizer_path())
+    assert library.encode("<|endoftext|> a", add_special_tokens=False).ids == [50256, 257]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, e.kind).tolist() for x in e.encode_all(pa.array(texts))] == want
 
 
@@ -384,7 +388,7 @@ def test_op10_equal_substrings_share_phrases():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, empty, name, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
-    for other in ("benchmark", "labels"):
+    for other in ("benchmark", "labels", "pages", "conversations"):
         spark.read.parquet(f"{DATA}/{other}.parquet").limit(0).write.parquet(f"{tmp_path}/{other}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).collect() == []
 
