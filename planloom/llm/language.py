@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from planloom.llm.packing import buffer_of, handed, tidy, words_of
+from planloom.llm.packing import buffer_of, give_back, handed, tidy, words_of
 from planloom.session import staged
 
 #: Bounds of the sample that the network is fitted on, for each language: labelled documents, and distinct words of those.
@@ -185,7 +185,9 @@ def trained(docs: DataFrame) -> Network | None:
     # frequent words first, the others by a hash
     order = Window.partitionBy("lang").orderBy(F.when(F.col("n") > 2, 0).otherwise(1), F.xxhash64("word", "lang"), "word")
     rows = counted.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= SAMPLE_WORDS)
-    return fit(sorted((r["lang"], r["word"].encode(), r["n"]) for r in rows.collect()))
+    net = fit(sorted((r["lang"], r["word"].encode(), r["n"]) for r in rows.collect()))
+    give_back()  # the driver lives on
+    return net
 
 
 def _pooled(net: Network, texts: pa.Array) -> np.ndarray:
