@@ -77,7 +77,7 @@ def live_halts(stream: DataFrame, keys: Sequence[str], order: Sequence[str], tok
                 latest = max(latest, int(batch["_ms"].max()))
                 if not seen.halted:
                     yield from zip(zip(*(batch[n] for n in names)), *(batch[c] for c in ("_act", "_tool", "_limited", "_size", "_success")))
-        first = heapq.nsmallest(max(0, max_steps + 1 - seen.steps), rows(), key=lambda r: r[0])
+        first = heapq.nsmallest(max(1, max_steps + 1 - seen.steps), rows(), key=lambda r: r[0])
         for _, act, tool, limited, size, success in first:
             reason = seen.step(act, tool, bool(limited), int(size), None if pd.isna(success) else bool(success))
             if reason is not None:
