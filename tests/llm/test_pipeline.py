@@ -113,6 +113,23 @@ def test_prefixes_meet():
                 assert set(near_copies.prefix(a, often, times).tolist()) & set(near_copies.prefix(b, often, times).tolist())
 
 
+def test_sketches_exclude_no_near_copy():
+    """Pairs at the border, of equal and of unlike numbers of slots, pass; unrelated ones do not."""
+    rng = np.random.default_rng(4)
+    for n in (*range(1, 70), 129, 500, 513, 3000):
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        for m in {-(-8 * len(a) // 9), -(-4 * len(a) // 5), len(a)}:
+            fresh = len(a) // 10
+            b = np.union1d(rng.choice(a, m, replace=False), rng.integers(0, 1 << 62, fresh).astype(np.uint64))
+            may = near_copies.may_be_similar(near_copies.sketch(a), len(a), near_copies.sketch(b), len(b))
+            assert may or not near_copies.similar(a, b)
+        other = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        if n >= 40:
+            assert not near_copies.may_be_similar(near_copies.sketch(a), len(a), near_copies.sketch(other), len(other))
+    none = np.zeros(0, np.uint64)
+    assert near_copies.may_be_similar(near_copies.sketch(none), 0, near_copies.sketch(none), 0)
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """Rows decide, not ids: texts that share an id are different documents, and a row that occurs twice is one."""
     one, other, third = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue black white grey")
