@@ -92,9 +92,21 @@ def read_preferences(df: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A list file as one column: the file is stripped as a whole, inner blank lines stay."""
-    whole = F.regexp_replace("value", r"^\s+|\s+$", "")
-    return spark.read.text(path, wholetext=True).select(F.explode(F.split(whole, "\n")).alias(name))
+    """List files as one column: each file is stripped as a whole, inner blank lines stay.
+
+    Files are split like any others: one aggregate finds the first and the last line of each that is not blank, then the lines in between
+    are kept and these two stripped. A file of blank lines is one empty line, one without lines has none.
+    """
+    lines = with_input_order(spark.read.text(path)).select("_file", "value", F.struct("_block", "_line").alias("_place"))
+    said = F.when(F.col("value").rlike(r"\S"), F.col("_place"))
+    ends = lines.groupBy("_file").agg(F.min(said).alias("_first"), F.max(said).alias("_last"), F.min("_place").alias("_any"))
+    blank = F.col("_first").isNull()
+    # a left join streams the lines, so that those of a small list stay in order
+    kept = lines.join(ends, "_file", "left").where(F.when(blank, F.col("_place") == F.col("_any")).otherwise(
+        F.col("_place").between(F.col("_first"), F.col("_last"))))
+    text = F.when(F.col("_place") == F.col("_first"), F.regexp_replace("value", r"^\s+", "")).otherwise(F.col("value"))
+    text = F.when(F.col("_place") == F.col("_last"), F.regexp_replace(text, r"\s+$", "")).otherwise(text)
+    return kept.select(F.when(blank, "").otherwise(text).alias(name))
 
 
 def upsert(existing: DataFrame | None, new: DataFrame, keys: Sequence[str], version: str) -> DataFrame:

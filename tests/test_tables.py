@@ -73,6 +73,25 @@ def test_keyed_json_splits_by_default(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_list_files_of_many_splits(spark, tmp_path):
+    """Equal to stripping each file as a whole, also where its blank ends and its lines lie in several splits."""
+    texts = {"a.txt": "\n \n  first \n\n" + "".join(f" city {i} \n" for i in range(400)) + "last \t\n\n  \n" * 2, "b.txt": "one", "c.txt": " \n\n", "d.txt": "x\r\n\r\ny\r\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+    try:
+        lines = read_lines(spark, str(tmp_path), "c")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        want = [w for text in texts.values() for w in text.replace("\r\n", "\n").strip().split("\n")]
+        assert sorted(r["c"] for r in lines.collect()) == sorted(want)
+        (tmp_path / "none").mkdir()
+        (tmp_path / "none" / "e.txt").write_text("")
+        assert read_lines(spark, str(tmp_path / "none"), "c").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "cities.txt").write_text("\nOslo\n\nRome\n\n")
     assert [r["c"] for r in read_lines(spark, str(tmp_path / "cities.txt"), "c").collect()] == ["Oslo", "", "Rome"]
