@@ -323,6 +323,7 @@ class _Batch:
     def __init__(self, table: pa.Table, buckets: int):
         offsets, data = buffer_of(column(table, "text"))
         self.n, self.buckets = len(offsets) - 1, buckets
+        self.sizes = np.diff(offsets)
         key, self.owner = string_keys(offsets, data)
         self.key, self.index = _distinct(key)
         self.first, words, self.word = words_of(offsets, data.lower())
@@ -350,10 +351,10 @@ class _Batch:
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``: one row per row of ``docs``.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``: one row per row of ``docs``.
 
-    ``score`` is the model's log10 probability of the lower-cased text and its end; divided by the number of bytes and by log10(2) it is the
-    code length per byte. ``base_score`` is that of single words with add-one counts.
+    ``score`` is the model's log10 probability of the lower-cased text and its end; ``bits_per_byte`` is the code length of both per byte,
+    where the end counts as one. ``base_score`` is that of single words with add-one counts.
 
     * Null and empty texts are an end alone. A null ``doc_id`` is trained on (``held_out`` false).
     * Repeated rows count as often as they occur. Without training documents every decision has probability 1/2.
@@ -374,12 +375,13 @@ def scored(docs: DataFrame) -> DataFrame:
         ids = table.column("doc_id")
         return pa.table({"doc_id": ids, "held_out": pa.array([held_out(i) for i in ids.to_pylist()], pa.bool_()),
                          "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
-                         "train_tokens": pa.array(np.full(b.n, tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
+                         "train_tokens": pa.array(np.full(b.n, tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(score),
+                         "bits_per_byte": pa.array(-score / np.log10(2) / (b.sizes + 1))})
 
     asks = ask(rows, None, questions, _COUNTED)
     told = _told(asks, model)
     return ask(rows, told, finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
-                                   "base_score double, score double")
+                                   "base_score double, score double, bits_per_byte double")
 
 
 def _told(asks: DataFrame, model: Trained) -> DataFrame:

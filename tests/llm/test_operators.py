@@ -211,6 +211,11 @@ def test_op3_against_a_plain_tree(request, table):
     found = sorted((rank(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), r.score) for r in got)
     for a, b in zip(found, sorted(want), strict=True):
         assert a[:6] == b[:6] and abs(a[6] - b[6]) <= 1e-5 * abs(b[6]) + 1e-9
+    bits = sorted((rank(r.doc_id), r.score, r.bits_per_byte) for r in got)
+    size = defaultdict(set)
+    for i, t in rows:
+        size[rank(i)].add(len(t.encode()) + 1)
+    assert all(any(abs(b * n * math.log10(2) + s) <= 1e-9 * abs(s) for n in size[i]) for i, s, b in bits)
 
 
 def slow_distance(pattern, text):
