@@ -1,14 +1,16 @@
 """Quality classification by co-training of two views.
 
 The text view sees hashed words and measures of form (capitals, marks, digits, repetition, lengths); the metadata view sees source,
-language and recorded length. Both are logistic regressions fitted on a bounded labelled sample. In each round either view labels
-the documents of an unlabelled sample that it is sure of, and hands them to the other view to learn from. Both are then calibrated
-and joined on labelled documents that neither has learned from; the joined score is given to every document.
+language and recorded length. Both are logistic regressions that begin on a bounded labelled sample. The features of all rows are
+written once. In each round one pass over them scores every unlabelled document with both views; those that a view is sure of become
+evidence for the other view, all of them: they are summed by cells of how sure either view is, and the other view learns from the mean
+of each cell, weighted by its documents. Sums are whole numbers, so that reruns agree. Both views are then calibrated and joined on
+labelled documents that neither has learned from; the joined score is given to every document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,17 +20,27 @@ from pyspark.sql import DataFrame, functions as F
 from planloom.llm.packing import U64, buffer_of, handed, hashes_of, tidy, words_of
 from planloom.session import staged
 
-#: Bounds of the samples that the views are fitted on.
+#: Bound of the labelled sample that the views begin with.
 LABELLED = 4000
-UNLABELLED = 2000
 ROUNDS = 4
+#: A view hands on documents whose probability of a class is at least so much.
 SURE = 0.95
-HANDED = 100
+#: What the documents handed on weigh in all, as a share of the labelled ones of their class, whatever their number.
+TRUST = 0.5
+#: Borders of the cells of a view's probability.
+EDGES = np.array([1 - 0.99, 1 - SURE, 0.2, 0.5, 0.8, SURE, 0.99])
 WORD_BITS = 10
-META_BITS = 7
+META_BITS = 12
 _FORM = 10
 _STEPS = 120
 _CHUNK_BYTES = 8 << 20
+_TEXT, _META, _SLOTS = (1 << WORD_BITS) + _FORM, 1 << META_BITS, 3
+#: Feature values are summed as multiples of one in so many.
+_UNIT = 1 << 16
+#: A half-precision number holds no more; only the mean length of words of some 400,000 bytes comes near.
+_MOST = 60_000
+#: Partial sums of a cell meet in so many tasks before they meet in one.
+_SALTS = 64
 
 
 def _share(hit: np.ndarray, owner: np.ndarray, n: int, whole: np.ndarray) -> np.ndarray:
@@ -64,27 +76,37 @@ def text_features(texts: pa.Array) -> np.ndarray:
     return np.concatenate([hashed, np.stack(form, axis=1) * 3], axis=1).astype(np.float32)
 
 
-def meta_features(source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> np.ndarray:
-    """Rows of hashed source, language and length class; nulls are classes of their own."""
+def meta_slots(source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> np.ndarray:
+    """Rows of three slots: hashed source, language and length class; nulls are classes of their own."""
     n = len(source)
-    out = np.zeros((n, 1 << META_BITS), np.float32)
     length = np.asarray(pc.fill_null(n_chars.cast(pa.int64()), -1))
     classes = np.where(length < 0, -1, np.log2(np.maximum(length, 0) + 1.0).astype(np.int64))
+    out = np.zeros((n, _SLOTS), np.int32)
     for seed, values in enumerate((source, lang, pa.array(classes.astype(str)))):
         names = pc.fill_null(values.cast(pa.string()), "\0null").cast(pa.binary()).dictionary_encode()
-        slot = (hashes_of(names.dictionary, seed + 1) >> U64(64 - META_BITS)).astype(np.int64)
+        slot = (hashes_of(names.dictionary, seed + 1) >> U64(64 - META_BITS)).astype(np.int32)
         if n:
-            out[np.arange(n), slot[np.asarray(names.indices)]] += 1
+            out[:, seed] = slot[np.asarray(names.indices)]
     return out
 
 
-class Regression:
-    """Logistic regression with classes of equal weight, fitted by full-batch Adam; features are centred."""
+def meta_features(slots: np.ndarray) -> np.ndarray:
+    """The slots as counts."""
+    out = np.zeros((len(slots), _META), np.float32)
+    np.add.at(out, (np.arange(len(slots))[:, None], slots), 1)
+    return out
+
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, penalty: float = 1e-3):
-        self.mean = x.mean(0)
-        x = x - self.mean
-        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
+class Regression:
+    """Logistic regression with classes of equal weight, fitted by full-batch Adam; features are centred. Rows may carry weights."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, penalty: float = 1e-3):
+        weight = np.ones(len(y)) if weight is None else weight
+        used = np.flatnonzero(x.any(0))  # a column without a value learns nothing
+        mean = np.average(x[:, used], axis=0, weights=weight).astype(np.float32)
+        width, x = x.shape[1], x[:, used] - mean
+        of_class = np.array([max(1e-9, weight[y == c].sum()) for c in (0, 1)])
+        weight = (0.5 * weight / of_class[y]).astype(np.float32)
         w, b = np.zeros(x.shape[1], np.float32), 0.0
         m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         for step in range(1, _STEPS + 1):
@@ -93,7 +115,8 @@ class Regression:
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             move = 0.15 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
             w, b = (w - move[:-1]).astype(np.float32), b - move[-1]
-        self.w, self.b = w, b - float(self.mean @ w)
+        self.w, self.b = np.zeros(width, np.float32), b - float(mean @ w)
+        self.w[used] = w
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return x @ self.w + self.b
@@ -114,51 +137,65 @@ def _line(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def handed_on(cells: dict[int, tuple[int, np.ndarray]], view: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """What ``view`` (0 text, 1 metadata) teaches the other one: mean features of the other view, classes, and documents per cell.
+
+    None unless the view is sure of some documents of either class, so that the shares of the classes do not drift.
+    """
+    rows = []
+    for cell, (n, sums) in sorted(cells.items()):
+        own = cell // (len(EDGES) + 1) if view == 0 else cell % (len(EDGES) + 1)
+        p = np.append(EDGES, 1.0)[own]  # the upper border
+        label = 0 if p <= 1 - SURE else 1 if own and EDGES[own - 1] >= SURE else None
+        if label is not None:
+            rows.append((label, n, (sums[_TEXT:] if view == 0 else sums[:_TEXT]) / (_UNIT * n)))
+    if {label for label, _, _ in rows} != {0, 1}:
+        return None
+    return (np.array([x for _, _, x in rows], np.float32), np.array([label for label, _, _ in rows]),
+            np.array([n for _, n, _ in rows], float))
+
+
+def cells_of(text: np.ndarray, meta: np.ndarray, views: list[Regression]) -> np.ndarray:
+    """The cell of each row: how sure the text view is, then the metadata view."""
+    a, b = (np.searchsorted(EDGES, _sigmoid(view.logit(x).astype(float)), "right") for view, x in zip(views, (text, meta)))
+    return a * (len(EDGES) + 1) + b
+
+
 class CoTrained:
     """Both views, their calibrations and the weights of their sum."""
 
-    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, spare: np.ndarray, pool: tuple[np.ndarray, np.ndarray]):
-        """``spare`` marks labelled rows kept for calibration; ``pool`` are both views of unlabelled rows."""
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, spare: np.ndarray,
+                 pool: Callable[[list[Regression]], dict[int, tuple[int, np.ndarray]]]):
+        """``spare`` marks labelled rows kept for calibration; ``pool`` gives the sums of the unlabelled rows by cells of two views."""
         learn = ~spare
-        views, pools = [text, meta], list(pool)
-        x = [v[learn] for v in views]
-        t = [y[learn], y[learn]]
-        free = np.ones(len(pool[0]), bool)
-        self.views = [Regression(a, b) for a, b in zip(x, t)]
+        views = [text, meta]
+        self.views = [Regression(v[learn], y[learn]) for v in views]
         for _ in range(ROUNDS):
-            if not free.any():
+            cells = pool(self.views)
+            taught = [handed_on(cells, 1 - own) for own in (0, 1)]
+            if taught == [None, None]:
                 break
-            handed = []
-            for view, p in zip(self.views, pools):
-                p = np.where(free, _sigmoid(view.logit(p)), 0.5)
-                high = [i for i in np.argsort(-p, kind="stable")[:HANDED] if p[i] >= SURE]
-                low = [i for i in np.argsort(p, kind="stable")[:HANDED] if p[i] <= 1 - SURE]
-                n = min(len(high), len(low))  # as many of either class, so that their shares do not drift
-                handed.append((high[:n], low[:n]))
-            for own, (high, low) in enumerate(handed):
-                other = 1 - own
-                x[other] = np.concatenate([x[other], pools[other][high + low]])
-                t[other] = np.concatenate([t[other], np.repeat([1, 0], [len(high), len(low)])])
-                free[high + low] = False
-            self.views = [Regression(a, b) for a, b in zip(x, t)]
+            self.views = [self._fitted(v[learn], y[learn], more) for v, more in zip(views, taught)]
         logits = [view.logit(v[spare]) for view, v in zip(self.views, views)]
         self.lines = [_line(z[:, None], y[spare]) for z in logits]
         self.joint = _line(np.stack([z * w[0] + w[1] for z, w in zip(logits, self.lines)], axis=1), y[spare])
 
+    @staticmethod
+    def _fitted(x: np.ndarray, y: np.ndarray, more: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> Regression:
+        if more is None:
+            return Regression(x, y)
+        means, label, n = more
+        share = np.array([TRUST * (y == c).sum() / n[label == c].sum() for c in (0, 1)])
+        return Regression(np.concatenate([x, means]), np.concatenate([y, label]), np.concatenate([np.ones(len(y)), n * share[label]]))
+
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of the text view and the metadata view, and the joint one."""
         a, b = (view.logit(v) * w[0] + w[1] for view, v, w in zip(self.views, (text, meta), self.lines))
         return _sigmoid(a), _sigmoid(b), _sigmoid(a * self.joint[0] + b * self.joint[1] + self.joint[2])
 
 
-def _views(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"),
-                       F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
-                       F.col("n_chars").cast("bigint").alias("n_chars"), *more)
-
-
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)))
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)))
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CHUNK_BYTES)))
@@ -167,50 +204,118 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return text_features(batch.column(1)), meta_features(*(batch.column(i) for i in (2, 3, 4)))
+def _packed(rows: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
 
+def _unpacked(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of written features."""
+    return (_unpacked(batch.column("text"), np.float16, _TEXT).astype(np.float32),
+            meta_features(_unpacked(batch.column("meta"), np.int32, _SLOTS)))
+
+
+def featured(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, quality, text, meta``: both views of each row of ``docs``, packed, and its label or null; written once."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
+        F.max(F.col("quality").cast("int")).alias("quality"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"),
+                       F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
+                       F.col("n_chars").cast("bigint").alias("n_chars"))
+    # rows without id have no label and must not meet in one task
+    rows = rows.where("doc_id is not null").join(known, "doc_id", "left").unionByName(
+        rows.where("doc_id is null").withColumn("quality", F.lit(None).cast("int")))
 
-def _sampled(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of both views and the labels of a sample; only the features come to the driver."""
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
-                text, meta = _features(part)
-                yield pa.record_batch([part.column(0), part.column(5), pa.array([r.tobytes() for r in text], pa.binary()),
-                                       pa.array([r.tobytes() for r in meta], pa.binary())], ["doc_id", "quality", "text", "meta"])
-    found = rows.mapInArrow(run, "doc_id bigint, quality int, text binary, meta binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["text"]))
-    stack = lambda name, width: np.array([np.frombuffer(r[name], np.float32) for r in found], np.float32).reshape(-1, width)
-    return stack("text", (1 << WORD_BITS) + _FORM), stack("meta", 1 << META_BITS), np.array([r["quality"] or 0 for r in found])
+                yield pa.record_batch([part.column("doc_id"), part.column("quality"), _packed(np.minimum(text_features(part.column("text")), _MOST).astype(np.float16)),
+                                       _packed(meta_slots(*(part.column(c) for c in ("source", "lang", "n_chars"))))],
+                                      ["doc_id", "quality", "text", "meta"])
+    return staged(handed(rows).mapInArrow(run, "doc_id bigint, quality int, text binary, meta binary"), "features")
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    """Fit on at most ``LABELLED`` labelled and ``UNLABELLED`` other documents, taken by a hash of the id; None without both classes."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
-        F.max(F.col("quality").cast("int")).alias("quality"))
-    rows = _views(docs).where("doc_id is not null")
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of ``cell, salt, n, at, sums`` (packed places and whole numbers) added up by keys; a task holds one sum per cell and salt."""
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, list] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                held = total.setdefault(tuple(row[k] for k in keys), [row["cell"], row["salt"], 0, np.zeros(_TEXT + _META, np.int64)])
+                held[2] += row["n"]
+                held[3][np.frombuffer(row["at"], np.int32)] += np.frombuffer(row["sums"], np.int64)
+        yield _cell_rows(total.values())
+    return rows.repartition(*keys).mapInArrow(run, _CELL)
+
+
+_CELL = "cell int, salt int, n bigint, at binary, sums binary"
+
 
-    def chosen(among: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        # ids are chosen without their texts; at most ``most`` of them are sent to where the texts are
-        some = F.broadcast(staged(among.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "chosen"))
-        return _sampled(rows.join(some, "doc_id").select(*rows.columns, "quality").orderBy(
-            F.xxhash64("doc_id"), F.xxhash64("text")).limit(most))
+def _cell_rows(held) -> pa.RecordBatch:
+    held = list(held)
+    places = [np.flatnonzero(sums).astype(np.int32) for *_, sums in held]
+    return pa.record_batch([pa.array([h[0] for h in held], pa.int32()), pa.array([h[1] for h in held], pa.int32()),
+                            pa.array([h[2] for h in held], pa.int64()), pa.array([p.tobytes() for p in places], pa.binary()),
+                            pa.array([h[3][p].tobytes() for h, p in zip(held, places)], pa.binary())], ["cell", "salt", "n", "at", "sums"])
 
-    text, meta, y = chosen(ids.join(known, "doc_id"), LABELLED)
+
+def cell_sums(features: DataFrame, views: list[Regression]) -> dict[int, tuple[int, np.ndarray]]:
+    """Number and summed features of all unlabelled documents by cell, for the cells in which a view is sure."""
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                text, meta = _views(batch.slice(at, 2000))
+                cell = cells_of(text, meta, views)
+                for c in np.unique(cell).tolist():
+                    if {c // (len(EDGES) + 1), c % (len(EDGES) + 1)} & _SURE_BINS:
+                        held = total.setdefault(c, [c, 0, 0, np.zeros(_TEXT + _META, np.int64)])
+                        mine = cell == c
+                        held[2] += int(mine.sum())
+                        held[3][:_TEXT] += np.rint(text[mine].astype(float) * _UNIT).astype(np.int64).sum(0)
+                        held[3][_TEXT:] += np.rint(meta[mine].sum(0, dtype=float)).astype(np.int64) * _UNIT
+        yield _cell_rows(total.values())
+    parts = handed(features.where("doc_id is not null and quality is null")).mapInArrow(run, _CELL).withColumn(
+        "salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS)))
+    out = {}
+    for r in _summed(_summed(parts, "cell", "salt"), "cell").collect():  # at most one row per cell
+        sums = np.zeros(_TEXT + _META, np.int64)
+        sums[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["sums"], np.int64)
+        out[r["cell"]] = (r["n"], sums)
+    return out
+
+
+#: Bins of a probability that are sure.
+_SURE_BINS = {i for i in range(len(EDGES) + 1) if i < len(EDGES) and EDGES[i] <= 1 - SURE or i and EDGES[i - 1] >= SURE}
+
+
+def trained(features: DataFrame) -> CoTrained | None:
+    """Fit on at most ``LABELLED`` labelled documents, taken by a hash of the id, and all others; None without both classes."""
+    ids = features.where("quality is not null").select("doc_id").distinct()
+    # at most so many are sent to where the features are
+    some = F.broadcast(staged(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED), "chosen"))
+    found = staged(features.where("quality is not null").join(some, "doc_id").select("doc_id", "quality", "text", "meta").orderBy(
+        F.xxhash64("doc_id"), F.xxhash64("text", "meta")).limit(LABELLED), "labelled").collect()
+    found.sort(key=lambda r: (r["doc_id"], r["text"], r["meta"]))
+    y = np.array([r["quality"] for r in found], np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    pool = chosen(ids.join(known, "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int")), UNLABELLED)
+    text, meta = _views(pa.record_batch([pa.array([r[c] for r in found], pa.binary()) for c in ("text", "meta")], ["text", "meta"]))
+    del found
+    pool = lambda views: cell_sums(features, views)
     spare = np.arange(len(y)) % 4 == 0
-    if len(set(y[spare].tolist())) < 2 or len(set(y[~spare].tolist())) < 2:
-        spare = np.ones(len(y), bool)  # too few to keep some apart
-        return CoTrained(np.tile(text, (2, 1)), np.tile(meta, (2, 1)), np.tile(y, 2), np.repeat([True, False], len(y)), pool[:2])
-    return CoTrained(text, meta, y, spare, pool[:2])
+    if len(set(y[spare].tolist())) < 2 or len(set(y[~spare].tolist())) < 2:  # too few to keep some apart
+        return CoTrained(np.tile(text, (2, 1)), np.tile(meta, (2, 1)), np.tile(y, 2), np.repeat([True, False], len(y)), pool)
+    return CoTrained(text, meta, y, spare, pool)
 
 
-def scored(docs: DataFrame, labels: DataFrame, model: CoTrained | None = None) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, text_score, meta_score, score, keep``: one row per row of ``docs`` (doc_id, text, source, lang, n_chars).
 
     ``labels`` has ``doc_id`` and ``quality`` (1 good, 0 bad); of several labels of a document the better one counts. ``keep``: the joint
@@ -218,17 +323,19 @@ def scored(docs: DataFrame, labels: DataFrame, model: CoTrained | None = None) -
 
     * Null texts are empty; null metadata are classes of their own; documents without id are scored but not learned from.
     * Without labels of both classes every score is one half, and all is kept.
+    * Ties: a score of exactly one half is kept; a document on the border of a cell belongs to the higher one.
     * Texts of any length; repeated rows are scored alike; an empty table gives no rows; other columns are not looked at.
     """
-    model = model or trained(docs, labels)
+    features = featured(docs, labels)
+    model = trained(features)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
-                n = part.num_rows
-                a, b, c = model.scores(*_features(part)) if model is not None else (np.full(n, 0.5),) * 3
-                yield pa.record_batch([part.column(0), *(pa.array(x.astype(float)) for x in (a, b, c)), pa.array(c >= 0.5)],
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                a, b, c = model.scores(*_views(part)) if model is not None else (np.full(part.num_rows, 0.5),) * 3
+                yield pa.record_batch([part.column("doc_id"), *(pa.array(x.astype(float)) for x in (a, b, c)), pa.array(c >= 0.5)],
                                       ["doc_id", "text_score", "meta_score", "score", "keep"])
 
-    return _views(handed(docs)).mapInArrow(run, "doc_id bigint, text_score double, meta_score double, score double, keep boolean")
+    return handed(features).mapInArrow(run, "doc_id bigint, text_score double, meta_score double, score double, keep boolean")

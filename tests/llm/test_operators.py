@@ -292,6 +292,62 @@ def test_op6_separates_labels(spark, docs, awkward):
     assert all(r.keep and r.score == 0.5 for r in quality.scored(awkward, labels.limit(0)).collect())
 
 
+def test_op6_cells_are_sums_over_all_unlabelled_rows(spark, docs, awkward):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").where("doc_id % 2 = 0")
+    features = quality.featured(docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(
+        awkward.select("doc_id", "text", "lang", "source", "n_chars")), labels)
+    text, meta = (quality.Regression(np.eye(3, w, dtype=np.float32), np.array([0, 1, 1])) for w in (quality._TEXT, quality._META))
+    rng = np.random.default_rng(1)
+    text.w, meta.w = (rng.normal(0, 3, len(v.w)).astype(np.float32) for v in (text, meta))
+    found = quality.cell_sums(features, [text, meta])
+    borders = quality.EDGES.tolist()
+    want = {}
+    for r in features.collect():
+        if r["doc_id"] is None or r["quality"] is not None:
+            continue
+        x = np.frombuffer(r["text"], np.float16).astype(np.float32)
+        z = np.zeros(quality._META, np.float32)
+        for slot in np.frombuffer(r["meta"], np.int32):
+            z[slot] += 1
+        bins = [sum(b <= 1 / (1 + math.exp(-float(v.logit(q)))) for b in borders) for v, q in ((text, x), (meta, z))]
+        if any(b <= 1 or b >= 6 for b in bins):
+            n, sums = want.setdefault(bins[0] * 8 + bins[1], (0, np.zeros(quality._TEXT + quality._META)))
+            want[bins[0] * 8 + bins[1]] = n + 1, sums + np.concatenate([x, z])
+    assert {c: n for c, (n, _) in found.items()} == {c: n for c, (n, _) in want.items()}
+    for c, (n, sums) in want.items():
+        assert np.abs(found[c][1] / quality._UNIT - sums).max() <= n / quality._UNIT
+
+
+def test_op6_a_round_teaches_the_other_view(spark):
+    good, bad = "meadow river calm evening light", "click cheap offer winner prize"
+    rng = random.Random(4)
+    body = lambda words: " ".join(rng.choices(words.split(), k=40))
+    rows = [(i, body(good if i % 2 else bad), "en", "seen", 200) for i in range(80)]
+    rows += [(i, body(good), "en", "shelf", 200) for i in range(100, 160)] + [(i, body(bad), "en", "heap", 200) for i in range(200, 260)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id bigint, quality int")
+    first, again = ([tuple(r) for r in quality.scored(docs, labels).orderBy("doc_id").collect()] for _ in range(2))
+    assert first == again
+    meta = {s: [quality.trained(quality.featured(docs, labels)).views[1].logit(quality.meta_features(quality.meta_slots(
+        pa.array([s]), pa.array(["en"]), pa.array([200]))))[0]] for s in ("seen", "shelf", "heap")}
+    assert meta["shelf"][0] > 1 and meta["heap"][0] < -1 and abs(meta["seen"][0]) < 1  # no label names shelf or heap
+    assert all(r[-1] == (r[0] % 2 == 1 if r[0] < 80 else r[0] < 200) for r in first)
+
+
+def test_op6_weights_are_repetitions_and_calibration_is_the_minimum():
+    rng = np.random.default_rng(2)
+    x, y, times = rng.normal(size=(30, 4)).astype(np.float32), np.arange(30) % 2, rng.integers(1, 4, 30)
+    one, other = quality.Regression(x, y, times.astype(float)), quality.Regression(np.repeat(x, times, axis=0), np.repeat(y, times))
+    assert np.allclose(one.w, other.w, atol=1e-3) and abs(one.b - other.b) < 1e-3
+    z = rng.normal(size=50) + (np.arange(50) % 2)
+    t = np.arange(50) % 2
+
+    def loss(w):
+        return sum(math.log1p(math.exp(-(2 * k - 1) * (w[0] * v + w[1]))) for v, k in zip(z, t)) + 0.005 * (w[0] ** 2 + w[1] ** 2)
+    best = quality._line(z[:, None], t)
+    assert all(loss(best) <= loss(best + np.array(d)) for d in [(1e-3, 0), (-1e-3, 0), (0, 1e-3), (0, -1e-3), (1e-3, -1e-3)])
+
+
 @pytest.mark.parametrize("table", ["docs", "awkward"])
 def test_op7_removes_repeated_bytes(request, table):
     df = request.getfixturevalue(table)
