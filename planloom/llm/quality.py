@@ -2,7 +2,7 @@
 
 The text view sees hashed words and measures of form (capitals, marks, digits, repetition, lengths); the metadata view sees source,
 language and recorded length. Both are logistic regressions that begin on a bounded labelled sample. The features of all rows are
-written once. In each round one pass over them scores every unlabelled document with both views; those that a view is sure of become
+written once. In each round one pass over them scores every document outside that sample with both views, labelled or not; those that a view is sure of become
 evidence for the other view, all of them: they are summed by cells of how sure either view is, and the other view learns from the mean
 of each cell, weighted by its documents. Sums are whole numbers, so that reruns agree. Both views are then calibrated and joined on
 labelled documents that neither has learned from; the joined score is given to every document.
@@ -218,25 +218,20 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
             meta_features(_unpacked(batch.column("meta"), np.int32, _SLOTS)))
 
 
-def featured(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, quality, text, meta``: both views of each row of ``docs``, packed, and its label or null; written once."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
-        F.max(F.col("quality").cast("int")).alias("quality"))
+def featured(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, meta``: both views of each row of ``docs``, packed; written once, by one scan."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"),
                        F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
                        F.col("n_chars").cast("bigint").alias("n_chars"))
-    # rows without id have no label and must not meet in one task
-    rows = rows.where("doc_id is not null").join(known, "doc_id", "left").unionByName(
-        rows.where("doc_id is null").withColumn("quality", F.lit(None).cast("int")))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
-                yield pa.record_batch([part.column("doc_id"), part.column("quality"), _packed(np.minimum(text_features(part.column("text")), _MOST).astype(np.float16)),
+                yield pa.record_batch([part.column("doc_id"), _packed(np.minimum(text_features(part.column("text")), _MOST).astype(np.float16)),
                                        _packed(meta_slots(*(part.column(c) for c in ("source", "lang", "n_chars"))))],
-                                      ["doc_id", "quality", "text", "meta"])
-    return staged(handed(rows).mapInArrow(run, "doc_id bigint, quality int, text binary, meta binary"), "features")
+                                      ["doc_id", "text", "meta"])
+    return staged(handed(rows).mapInArrow(run, "doc_id bigint, text binary, meta binary"), "features")
 
 
 def _summed(rows: DataFrame, *keys: str) -> DataFrame:
@@ -264,14 +259,15 @@ def _cell_rows(held) -> pa.RecordBatch:
                             pa.array([h[3][p].tobytes() for h, p in zip(held, places)], pa.binary())], ["cell", "salt", "n", "at", "sums"])
 
 
-def cell_sums(features: DataFrame, views: list[Regression]) -> dict[int, tuple[int, np.ndarray]]:
-    """Number and summed features of all unlabelled documents by cell, for the cells in which a view is sure."""
+def cell_sums(features: DataFrame, views: list[Regression], learned: np.ndarray) -> dict[int, tuple[int, np.ndarray]]:
+    """Number and summed features of all documents by cell, but for the ids ``learned``; for the cells in which a view is sure."""
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                text, meta = _views(batch.slice(at, 2000))
+                part = batch.slice(at, 2000)
+                text, meta = _views(part.filter(pa.array(~np.isin(np.asarray(part.column("doc_id")), learned))))
                 cell = cells_of(text, meta, views)
                 for c in np.unique(cell).tolist():
                     if {c // (len(EDGES) + 1), c % (len(EDGES) + 1)} & _SURE_BINS:
@@ -281,7 +277,7 @@ def cell_sums(features: DataFrame, views: list[Regression]) -> dict[int, tuple[i
                         held[3][:_TEXT] += np.rint(text[mine].astype(float) * _UNIT).astype(np.int64).sum(0)
                         held[3][_TEXT:] += np.rint(meta[mine].sum(0, dtype=float)).astype(np.int64) * _UNIT
         yield _cell_rows(total.values())
-    parts = handed(features.where("doc_id is not null and quality is null")).mapInArrow(run, _CELL).withColumn(
+    parts = handed(features.where("doc_id is not null")).mapInArrow(run, _CELL).withColumn(
         "salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS)))
     out = {}
     for r in _summed(_summed(parts, "cell", "salt"), "cell").collect():  # at most one row per cell
@@ -295,12 +291,13 @@ def cell_sums(features: DataFrame, views: list[Regression]) -> dict[int, tuple[i
 _SURE_BINS = {i for i in range(len(EDGES) + 1) if i < len(EDGES) and EDGES[i] <= 1 - SURE or i and EDGES[i - 1] >= SURE}
 
 
-def trained(features: DataFrame) -> CoTrained | None:
+def trained(features: DataFrame, labels: DataFrame) -> CoTrained | None:
     """Fit on at most ``LABELLED`` labelled documents, taken by a hash of the id, and all others; None without both classes."""
-    ids = features.where("quality is not null").select("doc_id").distinct()
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
+        F.max(F.col("quality").cast("int")).alias("quality"))
     # at most so many are sent to where the features are
-    some = F.broadcast(staged(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED), "chosen"))
-    found = staged(features.where("quality is not null").join(some, "doc_id").select("doc_id", "quality", "text", "meta").orderBy(
+    some = staged(features.select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED), "chosen")
+    found = staged(features.join(F.broadcast(some), "doc_id").select("doc_id", "quality", "text", "meta").orderBy(
         F.xxhash64("doc_id"), F.xxhash64("text", "meta")).limit(LABELLED), "labelled").collect()
     found.sort(key=lambda r: (r["doc_id"], r["text"], r["meta"]))
     y = np.array([r["quality"] for r in found], np.int64)
@@ -308,7 +305,8 @@ def trained(features: DataFrame) -> CoTrained | None:
         return None
     text, meta = _views(pa.record_batch([pa.array([r[c] for r in found], pa.binary()) for c in ("text", "meta")], ["text", "meta"]))
     del found
-    pool = lambda views: cell_sums(features, views)
+    learned = np.unique([r["doc_id"] for r in some.select("doc_id").collect()])
+    pool = lambda views: cell_sums(features, views, learned)
     spare = np.arange(len(y)) % 4 == 0
     if len(set(y[spare].tolist())) < 2 or len(set(y[~spare].tolist())) < 2:  # too few to keep some apart
         return CoTrained(np.tile(text, (2, 1)), np.tile(meta, (2, 1)), np.tile(y, 2), np.repeat([True, False], len(y)), pool)
@@ -326,8 +324,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     * Ties: a score of exactly one half is kept; a document on the border of a cell belongs to the higher one.
     * Texts of any length; repeated rows are scored alike; an empty table gives no rows; other columns are not looked at.
     """
-    features = featured(docs, labels)
-    model = trained(features)
+    features = featured(docs)
+    model = trained(features, labels)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
