@@ -326,8 +326,10 @@ class _Batch:
         self.sizes = np.diff(offsets)
         key, self.owner = string_keys(offsets, data)
         self.key, self.index = _distinct(key)
-        self.first, words, self.word = words_of(offsets, data.lower())
-        self.names = hashes_of(words)
+        self.first, words, word = words_of(offsets, data.lower())
+        # in an order of their own: a batch is read anew for its answers, and its rows may then come in another order
+        self.names, place = np.unique(hashes_of(words), return_inverse=True)
+        self.word = place[word]
         self.key_bucket, self.name_bucket = _bucket(self.key, buckets), _bucket(self.names, buckets)
 
     def questions(self, batch: int) -> pa.Table:

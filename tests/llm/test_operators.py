@@ -474,3 +474,14 @@ def test_decontaminate_lowers_items_and_documents_alike(spark):
     docs = [(i, f"some words {t} and more") for i, t in items] + [(3, "some words and more")]
     found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
     assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in found.collect()) == [(1, 1, 0), (2, 2, 0)]
+
+
+def _shuffled(texts: list[bytes], ids: list[int]) -> tuple[pa.Table, pa.Table]:
+    """A batch as it is read for its questions, and again, in another order, for its answers."""
+    table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.binary())})
+    return table, table.take(pa.array(range(len(ids))[::-1]))
+
+
+def test_context_tree_questions_do_not_depend_on_the_order_of_rows():
+    asked, again = (context_tree._Batch(t, 3).questions(0).to_pylist() for t in _shuffled([b"one two three", b"two four", b"five one"], [1, 2, 3]))
+    assert asked == again
