@@ -485,3 +485,20 @@ def _shuffled(texts: list[bytes], ids: list[int]) -> tuple[pa.Table, pa.Table]:
 def test_context_tree_questions_do_not_depend_on_the_order_of_rows():
     asked, again = (context_tree._Batch(t, 3).questions(0).to_pylist() for t in _shuffled([b"one two three", b"two four", b"five one"], [1, 2, 3]))
     assert asked == again
+
+
+def test_run_index_questions_do_not_depend_on_the_order_of_rows():
+    rng = random.Random(3)
+    shared = [bytes(rng.choice(b"abcdefgh ") for _ in range(90)) for _ in range(4)]
+    texts = [shared[i % 4] + bytes([65 + i]) + shared[(i + 1) % 4] for i in range(6)]
+    both = _shuffled(texts, list(range(6)))
+
+    def asked(table):
+        b = run_index._Batch(table, run_index.WINDOW, 2)
+        q = b.seeds.questions(0).to_pylist()
+        told = {r["_bucket"]: run_index.Shared.answers([r["payload"]])[0] for r in q}
+        b = b.passages(told)
+        return q, run_index.asked(0, b.bucket_of, 2, b.question).to_pylist()
+
+    first, again = map(asked, both)
+    assert first[1] and first == again
