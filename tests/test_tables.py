@@ -255,3 +255,14 @@ def test_sliced_queries(spark):
     few, many = (halts(repeats(recorded.trajectories(spark, DATA, rows), "action"), "repeat_halt") for rows in (1_000_000, 20))
     assert sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, many.collect()), key=str)
     assert total(1).inclusive
+
+
+def test_records_are_read_and_replayed_once(spark, monkeypatch):
+    """No filter on decoded columns: it would decode and replay every record a second time."""
+    from planloom.plans import records
+    rows = spark.createDataFrame([(1, "1", "[]", "{}", "5", "x")], f"id bigint, num_people string, constraints string, dist_matrix string, "
+                                 f"golden_plan string, {records.PREDICTION} string")
+    monkeypatch.setattr(records, "records", lambda spark, sf_dir: rows)
+    for name in ("record_failures",):
+        plan = records.QUERIES[name](spark, "")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Filter" not in plan, name
