@@ -263,6 +263,6 @@ def test_records_are_read_and_replayed_once(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "1", "[]", "{}", "5", "x")], f"id bigint, num_people string, constraints string, dist_matrix string, "
                                  f"golden_plan string, {records.PREDICTION} string")
     monkeypatch.setattr(records, "records", lambda spark, sf_dir: rows)
-    for name in ("record_failures",):
+    for name in ("record_failures", "score_records_strict"):
         plan = records.QUERIES[name](spark, "")._jdf.queryExecution().optimizedPlan().toString()
         assert "Filter" not in plan, name
