@@ -50,12 +50,12 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     return int(np.packbits(bits * 2 > n, bitorder="little").view(U64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``fp`` (bigint): one row per row of ``docs``. A null text has no words."""
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), U64, batch.num_rows)
+            fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), U64, batch.num_rows)
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
     return handed(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
         run, "doc_id bigint, fp bigint")

@@ -141,3 +141,13 @@ def test_near_duplicates_of_repeated_ids(spark):
     ):
         found = stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), DATA).collect()
         assert Counter((r["doc_id"], r["text"]) for r in found) == Counter(kept)
+
+
+def test_near_fingerprints_come_first(spark):
+    """Pairs by SimHash of the same shingles: a long text, its copy with one word changed, equal sets in another form; they are checked like all others."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:1500], "other", *words[1501:]])), (3, "\n".join(words)), (4, " ".join(words[::-1]))]
+    pairs = near_copies._near_prints(spark.createDataFrame(rows, "key bigint, text string")).collect()
+    found = {frozenset(p) for p in pairs}
+    assert all(p["a"] < p["b"] for p in pairs) and {frozenset((1, 3))} <= found and any(2 in p for p in found) and not any(4 in p for p in found)
