@@ -151,3 +151,22 @@ def test_near_fingerprints_come_first(spark):
     pairs = near_copies._near_prints(spark.createDataFrame(rows, "key bigint, text string")).collect()
     found = {frozenset(p) for p in pairs}
     assert all(p["a"] < p["b"] for p in pairs) and {frozenset((1, 3))} <= found and any(2 in p for p in found) and not any(4 in p for p in found)
+
+
+def test_sketches_of_many_sets_exclude_the_same_pairs():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (1, 3, 60, 70, 130, 600, 0)]
+    sets += [s[len(s) // 8:] for s in sets] + [s[len(s) // 4:] for s in sets]
+    bits, n = [near_copies.sketch(s) for s in sets], np.array([len(s) for s in sets])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    found = near_copies._Sketches(near_copies.pa.array(bits, near_copies.pa.binary())).may_be_similar(a, b, n)
+    assert found.tolist() == [near_copies.may_be_similar(bits[i], n[i], bits[j], n[j]) for i, j in zip(a, b)]
+
+
+def test_pairs_that_are_no_near_copies_do_not_leave_their_bucket(spark):
+    """A bucket of texts that share a phrase and little else gives no pairs, whatever its size."""
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 62, 100).astype(np.uint64)) for _ in range(60)]
+    rows = [(1, i, 100, 0, i, bytearray(near_copies.sketch(s))) for i, s in enumerate(sets)]
+    entries = spark.createDataFrame(rows, "h bigint, key bigint, n int, at int, root bigint, bits binary")
+    assert near_copies._candidates(entries, False).count() == 0
