@@ -167,6 +167,13 @@ def test_pairs_that_are_no_near_copies_do_not_leave_their_bucket(spark):
     """A bucket of texts that share a phrase and little else gives no pairs, whatever its size."""
     rng = np.random.default_rng(7)
     sets = [np.unique(rng.integers(0, 1 << 62, 100).astype(np.uint64)) for _ in range(60)]
-    rows = [(1, i, 100, 0, i, bytearray(near_copies.sketch(s))) for i, s in enumerate(sets)]
-    entries = spark.createDataFrame(rows, "h bigint, key bigint, n int, at int, root bigint, bits binary")
+    rows = [(1, i, 100, 0, i, bytearray(near_copies.sketch(s)), 1, [1]) for i, s in enumerate(sets)]
+    entries = spark.createDataFrame(rows, "h bigint, key bigint, n int, at int, root bigint, bits binary, shingle bigint, shared array<bigint>")
     assert near_copies._candidates(entries, False).count() == 0
+
+
+def test_pairs_are_given_in_the_bucket_of_their_lowest_shared_shingle():
+    shared = [[1, 3, 5], [1, 3, 5], [3, 5], [7]]
+    a, b = np.array([0, 0, 1, 2]), np.array([1, 2, 2, 3])
+    given = [near_copies._lowest_shared([h] * 4, shared, a, b).tolist() for h in (1, 3, 5)]
+    assert given == [[True, True, True, True], [False, True, True, True], [False, False, False, True]]
