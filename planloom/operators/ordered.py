@@ -23,6 +23,8 @@ from pyspark.sql.window import Window
 from planloom.session import staged
 
 MAX_GROUP_ROWS = 1_000_000
+#: A task sorts about as many rows in memory, also if each becomes a few; Spark's advisory size counts compressed bytes.
+ROWS_PER_TASK = 100_000
 _SAMPLE_HITS = 1000
 _SLICE = "_slice"
 
@@ -65,6 +67,19 @@ def oversized_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFra
     return seen.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit)
 
 
+def sort_tasks(measure: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> int | None:
+    """Over how many tasks to deal a table with the rows of ``measure``; null if Spark's own dealing will do."""
+    rows = measure.count()
+    if rows <= rows_per_task:
+        return None
+    return max(-(-rows // rows_per_task), measure.sparkSession.sparkContext.defaultParallelism)
+
+
+def dealt(df: DataFrame, keys: Sequence[str], tasks: int | None) -> DataFrame:
+    """Rows of a key in one of ``tasks`` partitions, which adaptive execution does not put together; windows and joins on the keys keep it."""
+    return df if tasks is None else df.repartition(tasks, *keys)
+
+
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right["_r_" + n]) for n in names])
 
@@ -149,10 +164,11 @@ def _merge(kind: str, here: Column, earlier: Column) -> Column:
 
 
 def arrange(df: DataFrame, keys: Sequence[str], order: Sequence[str], measure: DataFrame | None = None,
-            max_rows: int = MAX_GROUP_ROWS) -> Ordered:
+            max_rows: int = MAX_GROUP_ROWS, tasks: int | None = None) -> Ordered:
     """Prepare ``df`` for running aggregates per ``keys`` in ``order``.
 
-    ``measure`` may name a cheaper table with the same rows per key, to look for oversized keys in.
+    ``measure`` may name a cheaper table with the same rows per key, to look for oversized keys in. A caller that has dealt its rows
+    by the keys over ``tasks`` partitions names them, so that the slices are dealt alike.
     With no ``keys`` the whole table is one ordered group, which is always sliced.
     """
     if not keys:
@@ -166,7 +182,7 @@ def arrange(df: DataFrame, keys: Sequence[str], order: Sequence[str], measure: D
     same = _same(df, big, keys)
     usual = df.join(big, same, "left_anti").withColumn(_SLICE, F.lit(0))
     large = _slices(df.join(big, same, "left_semi"), keys, order, parts)
-    return Ordered(usual.unionByName(large), keys, order, True)
+    return Ordered(dealt(usual.unionByName(large), [*keys, _SLICE], tasks), keys, order, True)
 
 
 def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from planloom.functions.clock import clock_text
 from planloom.functions.plan_text import MEET, TRAVEL, WAIT, step
-from planloom.operators.ordered import MAX_GROUP_ROWS, Ordered, arrange, total
+from planloom.operators.ordered import MAX_GROUP_ROWS, Ordered, arrange, dealt, sort_tasks, total
 from planloom.operators.replay import (CLAMPED, LENIENT, STRICT, first_failures, plan_scores, replay,
                                        replay_structured, with_people)
 from planloom.operators.score import SAMPLES_PER_SIZE, accuracy_by_size, in_size_range, overall_accuracy, rate
@@ -55,20 +55,23 @@ def visits(spark: SparkSession, sf_dir: str, max_rows: int = MAX_GROUP_ROWS,
     line = table(spark, sf_dir, "lineitem")
     order, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
+    # both sides of the join by order are dealt alike: windows over the orders' steps keep that, without a further shuffle
+    tasks = sort_tasks(line)
     start = (order.join(customer, F.col("o_custkey") == F.col("c_custkey"))
              .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
              .select("o_orderkey", F.col("n_name").alias("start_location")))
+    start = dealt(start, ["o_orderkey"], tasks)
     person = people(spark, sf_dir)
     if lookup:
         # structured plans: the person is named by text, some of them unknown, and looked up by name
         person = person.select("s_suppkey", "name", F.col("place").alias("s_place"))
-    df = (line.select("l_orderkey", *VISIT_ORDER).join(person, F.col("l_suppkey") == F.col("s_suppkey"))
-          .join(start, F.col("l_orderkey") == F.col("o_orderkey")).drop("s_suppkey", "o_orderkey"))
+    met = line.select("l_orderkey", *VISIT_ORDER).join(person, F.col("l_suppkey") == F.col("s_suppkey"))
+    df = dealt(met, ["l_orderkey"], tasks).join(start, F.col("l_orderkey") == F.col("o_orderkey")).drop("s_suppkey", "o_orderkey")
     if lookup:
         df = df.withColumn("person", F.when(s() % 7 == 0, "Nobody").otherwise(F.col("name"))).drop("name")
         df = with_people(df, people(spark, sf_dir).drop("s_suppkey", "s_nationkey"))
     seq = arrange(df.withColumnRenamed("l_orderkey", "pid"), ["pid"], VISIT_ORDER,
-                  measure=line.select(F.col("l_orderkey").alias("pid")), max_rows=max_rows)
+                  measure=line.select(F.col("l_orderkey").alias("pid")), max_rows=max_rows, tasks=tasks)
     return seq.running(k=total(1)).with_columns(start_min=F.lit(540))
 
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from planloom.operators.ordered import arrange, highest, latest, total
+from planloom.operators.ordered import arrange, dealt, highest, latest, sort_tasks, total
 
 
 def _table(spark):
@@ -47,3 +47,15 @@ def test_whole_table_as_one_group(spark):
     df = spark.range(1000).withColumn("at", F.col("id") * 7 % 1000)
     rows = arrange(df, [], ["at"]).running(n=total(1)).rows().collect()
     assert all(r["n"] == r["at"] + 1 for r in rows)
+
+
+def test_large_tables_are_dealt_by_rows(spark):
+    df = _table(spark)
+    assert sort_tasks(df) is None and sort_tasks(df, rows_per_task=10) == -(-df.count() // 10)
+    many = dealt(df, ["key"], 40)
+    seq = arrange(many, ["key"], ["pos"], tasks=40).running(n=total(1)).running(by=["kind"], of_kind=total(1))
+    plan = seq.df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 1
+    sliced = arrange(many, ["key"], ["pos"], max_rows=60, tasks=40)
+    assert sliced.sliced and sliced.df.rdd.getNumPartitions() == 40
+    assert _scanned(sliced) == _scanned(arrange(df, ["key"], ["pos"]))

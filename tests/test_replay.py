@@ -101,6 +101,14 @@ def test_scans_equal_loop(spark, rule, max_rows):
     assert failed == {pid for pid, start, steps in plans if _loop(start, steps, rule)[1] is not None}
 
 
+def test_steps_are_sorted_in_two_orders_only(spark):
+    done = replay(arrange(_step_table(spark, _plans(20, 12, 5)), ["pid"], ["pos"]), F.broadcast(_edges(spark)), LENIENT)
+    plan = done.rows()._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") == 5
+    orders = done.rows()._jdf.queryExecution().executedPlan().toString().split("+- Sort [")[1:]
+    assert sum("pid#" in order.split("]")[0] for order in orders) == 2
+
+
 def _sentence(kind, dest, wait, person, malformed):
     clock = "soon" if wait is None else f"{(wait // 60 + 11) % 12 + 1}:{wait % 60:02d}{'AM' if wait % 1440 < 720 else 'PM'}"
     return {"start": "You start at A at 9:00AM", "travel": f"You travel {'' if malformed else 'to '}{dest} in 5 minutes",
