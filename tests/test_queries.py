@@ -36,3 +36,9 @@ def test_query_equals_sql(spark, db, name):
 def test_every_query_has_sql():
     assert all_queries().keys() == all_sql().keys()
     assert entry.oracle_sql().keys() <= entry.queries().keys()
+
+
+@pytest.mark.parametrize("name", ["constraint_rows", "distance_edges"])
+def test_records_are_decoded_once(spark, name):
+    plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("pythonUDF" in node for node in plan.split("Filter ")[1:] for node in [node.split("+-")[0]])

@@ -162,3 +162,32 @@ def test_packing(spark):
     assert values(spark, cut(F.col("t"), 2), [" a  b c", ""]) == ["a b", ""]
     prompt, completion = cut_pair(F.col("t"), F.lit("x y z"), 2, 4)
     assert values(spark, F.concat_ws("|", prompt, completion), ["a b c", "a"]) == ["a b|x y", "a|x y z"]
+
+
+def test_a_step_is_looked_at_once(spark):
+    from planloom.functions.plan_text import step
+    rows = spark.createDataFrame([("You travel to A in 5 minutes",), ("You travel home",), ("You wait until 9:05AM.",), ("You wait",),
+                                  ("You meet Bo for 5 minutes",), ("You start at A",), ("You fly",), (None,)], "t string").select(step(F.col("t")).alias("s"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StartsWith") + plan.count("startswith") == 4
+    assert [tuple(r["s"]) for r in rows.collect()] == [
+        ("travel", "A", None, None, False), ("travel", None, None, None, True), ("wait", None, 545, None, False),
+        ("wait", None, None, None, True), ("meet", None, None, "Bo", False), ("start", None, None, None, False),
+        ("unknown", None, None, None, False), ("unknown", None, None, None, False)]
+
+
+def test_literals_without_special_words_are_rewritten_alike(spark):
+    import ast
+    import json
+    from planloom.functions.literals import with_literals
+    texts = ["['a', 1, {'b': 2.5}]", '["a\'s", 1]', "fal'x'e", "['None', 'true']", "[None, True]", "('a', 'b')", "('a')", "[true]", "['a\\n']",
+             "['a'], ['b']", "{'a': 1}, 'b'", "", "5", "'x'", "['(a)']", "[1,\n2]"]
+    rows = with_literals(spark.createDataFrame([(t,) for t in texts], "t string"), {"j": F.col("t")}).collect()
+    def read(text):
+        try:
+            return ast.literal_eval(text)
+        except (ValueError, SyntaxError):
+            return None
+    as_json = lambda v: json.loads(json.dumps(v))
+    for r in rows:
+        assert (None if r["j"] is None else json.loads(r["j"])) == as_json(read(r["t"])), r["t"]
