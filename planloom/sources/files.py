@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from planloom.operators.ordered import dealt, sort_tasks
 from planloom.session import staged
 
 
@@ -109,16 +110,20 @@ def read_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
     return kept.select(F.when(blank, "").otherwise(text).alias(name))
 
 
-def upsert(existing: DataFrame | None, new: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
+#: Rows of a dataset that a task merges; they are sorted by key, as texts have no place in a hash table of aggregates.
+MERGED_ROWS = 1_000_000
+
+
+def upsert(existing: DataFrame | None, new: DataFrame, keys: Sequence[str], version: str, tasks: int | None = None) -> DataFrame:
     """Records with the latest non-null value of each field, over the old and the new rows of a key.
 
     Fields that only one side has stay, so that one model's results do not remove another's. Per-field
-    ``max_by`` aggregates before the shuffle.
+    ``max_by`` aggregates before the shuffle, or with ``tasks`` within as many partitions by key, so that no task sorts more than its share.
     """
     rows = new if existing is None else existing.unionByName(new, allowMissingColumns=True)
     fields = [c for c in rows.columns if c not in (*keys, version)]
     latest = [F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col(version))).alias(c) for c in fields]
-    return rows.groupBy(*keys).agg(F.max(version).alias(version), *latest)
+    return dealt(rows, keys, tasks).groupBy(*keys).agg(F.max(version).alias(version), *latest)
 
 
 def upsert_in_place(new: DataFrame, path: str, keys: Sequence[str], version: str, split: str) -> None:
@@ -130,12 +135,16 @@ def upsert_in_place(new: DataFrame, path: str, keys: Sequence[str], version: str
     spark = new.sparkSession
     new = staged(new, "new")
     existing: DataFrame | None = None
+    sizes = new.select(F.lit(1))
     if _exists(spark, path):
         existing = spark.read.parquet(path)
+        sizes = sizes.union(existing.select(F.lit(1)))
         touched = new.select(F.col(split).alias("_touched")).distinct()
         existing = existing.join(touched, existing[split].eqNullSafe(touched["_touched"]), "left_semi")
-    merged = staged(upsert(existing, new, keys, version), "merged")
-    (merged.repartition(split, F.pmod(F.xxhash64(*keys), F.lit(_spread(spark)))).write.mode("overwrite")
+    tasks = sort_tasks(sizes, MERGED_ROWS)
+    merged = staged(upsert(existing, new, keys, version, tasks), "merged")
+    places = [F.col(split), F.pmod(F.xxhash64(*keys), F.lit(_spread(spark)))]
+    ((merged.repartition(*places) if tasks is None else merged.repartition(tasks, *places)).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(split).parquet(path))
 
 

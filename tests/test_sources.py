@@ -10,7 +10,7 @@ from planloom.functions.text import judged, mask, truncate_scratchpad
 from planloom.functions.whole import whole_json
 from planloom.operators.ordered import arrange
 from planloom.operators.trajectory import masked_pads, truncated_pads
-from planloom.sources.files import inferred_schema, read_inferred, upsert_in_place
+from planloom.sources.files import inferred_schema, read_inferred, upsert, upsert_in_place
 from planloom.sources.keyed_json import json_text, read_keyed_json, write_entries
 from planloom.sources.keyed_ranges import read_entries
 
@@ -157,3 +157,10 @@ def test_judgements_are_read_from_whole_objects(spark):
         "i", whole_json(F.col("t")).isNotNull().alias("whole"), judged(F.col("t")).alias("j")).orderBy("i").collect()
     assert [r["i"] for r in rows if r["whole"]] == [0, 1, 2, 3, 4, 8, 14]
     assert [r["i"] for r in rows if r["j"]["accepted"]] == [3, 4, 5] and rows[4]["j"]["relevance_score"] == 1 and rows[5]["j"]["issues"] == ["1"]
+
+
+def test_upsert_deals_large_datasets_by_key(spark):
+    new = spark.range(200).select((F.col("id") % 50).alias("q"), F.col("id").alias("version"), F.concat(F.lit("a"), F.col("id").cast("string")).alias("m"))
+    done = upsert(None, new, ["q"], "version", tasks=40)
+    assert done._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and done.rdd.getNumPartitions() == 40
+    assert {tuple(r) for r in done.collect()} == {tuple(r) for r in upsert(None, new, ["q"], "version").collect()}
