@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from planloom.sources.keyed_ranges import RANGE_BYTES, read_entries
 
 RECORD = "map<string,string>"
+_FRAMED_ROWS = 256
 
 
 def _bad(what: str, text: Column) -> Column:
@@ -106,18 +108,23 @@ def write_keyed_json(df: DataFrame, path: str, id_col: str, order: str | None =
 
 def write_entries(entries: DataFrame, path: str) -> None:
     """Write JSON entries ``"key": value`` (one text column) as objects, one for each partition; a partition without entries is an empty object."""
-    def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"value": ["{"]}, dtype="object")
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = lambda values: pa.record_batch([pa.array(values, pa.string())], ["value"])
+        yield lines(["{"])
         held: str | None = None
         for batch in batches:
-            values = list(batch["value"])
-            if values:
-                lines = ([] if held is None else [held + ","]) + [v + "," for v in values[:-1]]
-                held = values[-1]
-                yield pd.DataFrame({"value": lines}, dtype="object")
-        yield pd.DataFrame({"value": ["}"] if held is None else [held, "}"]}, dtype="object")
-
-    entries.toDF("value").mapInPandas(framed, "value string").write.mode("overwrite").text(path)
+            # a few rows at a time, and never as Python texts: a batch of long texts would stand in memory many times over
+            for at in range(0, batch.num_rows, _FRAMED_ROWS):
+                values = batch.column(0).slice(at, _FRAMED_ROWS)
+                if values.null_count:
+                    raise ValueError("keyed JSON: an entry without a text")
+                if held is not None:
+                    yield lines([held + ","])
+                yield pa.record_batch([pc.binary_join_element_wise(values[:-1], ",", "").cast(pa.string())], ["value"])
+                held = values[-1].as_py()
+        yield lines(["}"] if held is None else [held, "}"])
+
+    entries.toDF("value").mapInArrow(framed, "value string").write.mode("overwrite").text(path)
 
 
 def json_text(value: Column) -> Column:

@@ -159,6 +159,16 @@ def test_judgements_are_read_from_whole_objects(spark):
     assert [r["i"] for r in rows if r["j"]["accepted"]] == [3, 4, 5] and rows[4]["j"]["relevance_score"] == 1 and rows[5]["j"]["issues"] == ["1"]
 
 
+def test_entries_are_framed_over_many_batches(spark, tmp_path):
+    entries = spark.range(2000).select(F.concat(F.lit('"k'), F.col("id").cast("string"), F.lit('": {"v": '), F.col("id").cast("string"), F.lit("}"))).coalesce(1)
+    write_entries(entries, str(tmp_path / "entries"))
+    text = "".join(r[0] + "\n" for r in spark.read.text(str(tmp_path / "entries")).collect())
+    assert json.loads(text) == {f"k{i}": {"v": i} for i in range(2000)}
+    empty = spark.createDataFrame([(None,)], "v string")
+    with pytest.raises(Exception, match="without a text"):
+        write_entries(empty, str(tmp_path / "none"))
+
+
 def test_upsert_deals_large_datasets_by_key(spark):
     new = spark.range(200).select((F.col("id") % 50).alias("q"), F.col("id").alias("version"), F.concat(F.lit("a"), F.col("id").cast("string")).alias("m"))
     done = upsert(None, new, ["q"], "version", tasks=40)
