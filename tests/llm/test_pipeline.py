@@ -4,9 +4,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from planloom.llm import decontaminate, near_copies
+from planloom.llm import decontaminate, near_copies, packing
 
 DATA = "/root/testdata/sf0.001"
 
@@ -177,3 +178,40 @@ def test_pairs_are_given_in_the_bucket_of_their_lowest_shared_shingle():
     a, b = np.array([0, 0, 1, 2]), np.array([1, 2, 2, 3])
     given = [near_copies._lowest_shared([h] * 4, shared, a, b).tolist() for h in (1, 3, 5)]
     assert given == [[True, True, True, True], [False, True, True, True], [False, False, False, True]]
+
+
+def test_only_entries_with_a_partner_are_described(spark, monkeypatch):
+    """Texts put together from the same passages meet in many buckets; what is many times an entry is added to none of theirs."""
+    rng = random.Random(9)
+    passages = [[f"p{i}w{j}" for j in range(40)] for i in range(12)]
+    rows = [(i, " ".join(w for p in rng.sample(passages, 3) for w in p)) for i in range(40)]
+    rows += [(100 + i, text + " more") for i, text in rows[:5]]
+    met, given, described = [], [], near_copies._described
+    entries_of = near_copies._entries
+    monkeypatch.setattr(near_copies, "_entries", lambda rows: met.append(entries_of(rows).count()) or entries_of(rows))
+    monkeypatch.setattr(near_copies, "_described", lambda entries, sketches: given.append(entries.count()) or described(entries, sketches))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, DATA)
+    assert sorted(r["doc_id"] for r in kept.collect()) == _kept_by_force(rows)
+    assert met[0] > 5 * len(rows) and given == [0]
+
+
+def test_near_copies_are_partners_in_all_their_buckets(spark):
+    rng = np.random.default_rng(10)
+    a, other = (np.unique(rng.integers(0, 1 << 62, 200).astype(np.uint64)) for _ in range(2))
+    sets = {1: a, 2: a[5:], 3: other, 4: a[3:]}
+    root = {1: 1, 2: 2, 3: 3, 4: 1}
+    rows = [(h, k, len(sets[k]), 0, root[k], 50 + h) for h, keys in ((5, (1, 2, 3)), (7, (1, 2)), (8, (1, 3)), (9, (1, 4)), (10, (2,))) for k in keys]
+    entries = spark.createDataFrame(rows, "h bigint, key bigint, n int, at int, root bigint, shingle bigint")
+    sketches = spark.createDataFrame([(k, len(s), bytearray(near_copies.sketch(s))) for k, s in sets.items()], "key bigint, n int, bits binary")
+    found = near_copies._partnered(entries, sketches).collect()
+    assert sorted((r["h"], r["key"], r["shingle"]) for r in found) == [(5, 1, 55), (5, 2, 55), (7, 1, 57), (7, 2, 57)]
+
+
+def test_groups_are_held_by_bytes():
+    """Wide rows: whole groups in order, no table of much more than the bytes asked for."""
+    keys = np.repeat(np.arange(100), 10)
+    batch = pa.record_batch([pa.array(keys), pa.array([b"x" * 1000] * len(keys))], ["k", "v"])
+    tables = list(packing.in_groups((batch.slice(lo, 7) for lo in range(0, len(keys), 7)), "k", 1 << 20, 50_000))
+    assert np.concatenate([np.asarray(packing.column(t, "k")) for t in tables]).tolist() == keys.tolist()
+    assert sum(len(set(t.column("k").to_pylist())) for t in tables) == 100 and max(t.nbytes for t in tables) < 60_000
