@@ -71,7 +71,8 @@ def _masks(pieces: int, radius: int) -> list[int]:
 def _planes(fps: np.ndarray) -> np.ndarray:
     """Bit planes of words of 64 fingerprints: one row per bit, one 64-bit word per 64 fingerprints."""
     bits = np.unpackbits(fps.view(np.uint8).reshape(-1, _LANES, 8), axis=2, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view(U64)[:, :, 0])
+    # of a single word packbits may return another order
+    return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view(U64)[:, :, 0]
 
 
 def near_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:

@@ -502,3 +502,11 @@ def test_run_index_questions_do_not_depend_on_the_order_of_rows():
 
     first, again = map(asked, both)
     assert first[1] and first == again
+
+
+def test_near_links_of_one_word():
+    """Buckets that fill no more than one word of 64 fingerprints."""
+    fps = np.random.default_rng(12).integers(0, 1 << 62, 64).astype(np.uint64)
+    fps[1] = fps[0] ^ np.uint64(5)
+    for n in (2, 5, 64):
+        assert [x.tolist() for x in simhash.near_links(fps[:n], np.zeros(n, np.int64))] == [[0], [1]]
