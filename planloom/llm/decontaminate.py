@@ -22,7 +22,8 @@ from planloom.session import staged
 RATE = 0.125
 ANCHOR_WORDS = 4
 MAP_BITS = 26
-_CHUNK_BYTES = 4 << 20
+#: So many bytes of texts are cut into words at a time.
+_CHUNK_BYTES = 1 << 20
 _MARKS = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not (chr(b).isalnum()) else b for b in range(256))
 
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from planloom.llm.packing import buffer_of, give_back, handed, tidy, words_of
+from planloom.llm.packing import buffer_of, give_back, handed, joined, tidy, words_of
 from planloom.session import staged
 
 #: Bounds of the sample that the network is fitted on, for each language: labelled documents, and distinct words of those.
@@ -220,7 +220,7 @@ def predicted(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in joined(batches, _CHUNK_BYTES):
             ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)))
             at = 0
             while at < batch.num_rows:

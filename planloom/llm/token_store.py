@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from planloom.llm.dealing import pieces, text_bytes
-from planloom.llm.packing import U64, give_back, handed, mixed, pack, tidy, unpack
+from planloom.llm.packing import U64, give_back, handed, joined, mixed, pack, tidy, unpack
 from planloom.session import scratch_path, staged
 
 END_ID = 2
@@ -35,6 +35,8 @@ SHARD_BYTES = 16 << 20
 BUCKET_KEYS = 4096
 #: Pieces whose ids a worker remembers in each of two generations: about 100 MB in all.
 MEMO_PIECES = 250_000
+#: So many bytes of texts, or a batch that has more, are looked up together: what repeats among them is looked up once.
+_ENCODED_BYTES = 4 << 20
 _HEAD = "<qI"
 _HEAD_BYTES = struct.calcsize(_HEAD)
 _NULL = 1 << 31
@@ -174,7 +176,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, size = encoder(tokenizer).encode_all, 4 if wide else 2
-        for batch in batches:
+        for batch in joined(batches, _ENCODED_BYTES):
             for part in small(batch):
                 records = [struct.pack(_HEAD, key or 0, len(ids) // size + 1 | (_NULL if key is None else 0)) + ids
                            for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1)))]

@@ -215,3 +215,48 @@ def test_groups_are_held_by_bytes():
     tables = list(packing.in_groups((batch.slice(lo, 7) for lo in range(0, len(keys), 7)), "k", 1 << 20, 50_000))
     assert np.concatenate([np.asarray(packing.column(t, "k")) for t in tables]).tolist() == keys.tolist()
     assert sum(len(set(t.column("k").to_pylist())) for t in tables) == 100 and max(t.nbytes for t in tables) < 60_000
+
+
+def _largest_handed(rows):
+    """Bytes of the largest batch that a worker gets of a table."""
+    def run(batches):
+        yield pa.record_batch([pa.array([max(b.nbytes for b in batches)])], ["n"])
+    return rows.mapInArrow(run, "n bigint").agg({"n": "max"}).first()[0]
+
+
+def test_stages_hand_over_few_bytes_at_a_time(spark):
+    batch_bytes = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id doc_id", "repeat(concat('word', id, ' '), 200) text", "'en' lang", "'a' source", "1 n_chars")
+    before = spark.conf.get(batch_bytes)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.set(batch_bytes, "64m")
+            stage(spark, docs.limit(20), DATA)
+            assert 1 << 20 < _largest_handed(docs) < 5 << 19, name
+    finally:
+        spark.conf.set(batch_bytes, before)
+
+
+def test_contamination_does_not_depend_on_batches(spark):
+    items = spark.range(0, 40).selectExpr("id item_id", "concat_ws(' ', transform(sequence(1, 20), i -> concat('w', id, 'x', i))) text")
+    filled = "repeat(concat('filler', id, ' '), 300)"
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id doc_id", f"concat({filled}, concat_ws(' ', transform(sequence(1, if(id % 50 = 7, 20, 9)), i -> concat('w', id % 40, 'x', i)))) text")
+    batch_bytes = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(batch_bytes)
+    try:
+        for size in ("64m", "300k"):
+            spark.conf.set(batch_bytes, size)
+            found = decontaminate.contaminated(docs, items).collect()
+            assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in found) == [(i, i % 40, 0) for i in range(7, 3000, 50)]
+    finally:
+        spark.conf.set(batch_bytes, before)
+
+
+def test_batches_are_joined():
+    batch = pa.record_batch([pa.array(range(1000)), pa.array(["some text"] * 1000)], ["k", "t"])
+    parts = [batch.slice(lo, 10) for lo in range(0, 1000, 10)]
+    out = list(packing.joined(iter(parts), 5000))
+    assert pa.Table.from_batches(out).combine_chunks() == pa.Table.from_batches([batch])
+    assert len(out) < 50 and all(5000 <= b.nbytes < 6000 for b in out[:-1])
+    assert [b.num_rows for b in packing.joined(iter(parts[:3]), 1)] == [10, 10, 10]
+    assert list(packing.joined(iter([]), 1)) == []
