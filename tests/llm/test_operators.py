@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from planloom.llm import context_tree, decontaminate, language, mixing, phrases, quality, repeats, run_index, simhash, token_store
 from planloom.llm.components import components
+from planloom.llm.packing import pack
 from planloom.llm.queries import QUERIES, tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
@@ -379,6 +380,32 @@ def test_op7_index_answers_every_window():
         assert index.lowest_documents().tolist() == [first[s[p:p + 20]] for s in cut for p in range(len(s) - 19)]
 
 
+def _around_a_line(count):
+    """Distinct passages that all hold a part of one line: whatever the string that deals them, many hold the line's."""
+    rng = np.random.default_rng(11)
+    line = rng.integers(97, 123, 60, dtype=np.uint8).tobytes()
+    told = [rng.integers(97, 123, 60, dtype=np.uint8).tobytes() for _ in range(count)]
+    cut = [(line[:12 + i % 49] + t)[:68] if i % 2 else (t + line[-12 - i % 49:])[-68:] for i, t in enumerate(told)]
+    return [p for p in cut for _ in range(2)]
+
+
+@pytest.mark.parametrize("window", [50, 20, 47])
+def test_op7_crowded_bucket_gets_indexes_of_a_set_size(monkeypatch, window):
+    monkeypatch.setattr(run_index, "INDEX_BYTES", 20_000)
+    cut, built, index = _around_a_line(3000), [], run_index.RunIndex
+    monkeypatch.setattr(run_index, "RunIndex", lambda data, *more: built.append(len(data)) or index(data, *more))
+    docs = np.random.default_rng(12).integers(0, 500, len(cut))
+    blobs = [pack(lens=np.array([len(p) for p in cut[k::4]], np.uint16), docs=docs[k::4], data=np.frombuffer(b"".join(cut[k::4]), np.uint8)) for k in range(4)]
+    first = {}
+    for p, d in zip(cut, docs.tolist()):
+        for a in range(len(p) - window + 1):
+            first[p[a:a + window]] = min(d, first.get(p[a:a + window], 500))
+    for k, bits in enumerate(run_index._earlier(blobs, window)):
+        want = [first[p[a:a + window]] < d for p, d in zip(cut[k::4], docs[k::4].tolist()) for a in range(len(p) - window + 1)]
+        assert run_index.unbits(bits, len(want)).tolist() == want
+    assert max(built) < 40_000
+
+
 def test_op8_meets_targets(docs, awkward):
     for df in (docs, awkward):
         rows = mixing.mixed_copies(df).collect()
