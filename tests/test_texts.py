@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from planloom.functions import clock, plan_text, templates, text
 from planloom.functions.literals import with_literals
 from planloom.functions.problem import complete, constraint_block, distance_block, distances, problem
-from planloom.operators.records import next_step_rows, scored
+from planloom.functions.whole import is_whole_json, json_opens, whole_json
+from planloom.operators.records import decoded, next_step_rows, scored
 from planloom.operators.selection import cut, cut_pair, pack, words
 
 
@@ -191,3 +192,32 @@ def test_literals_without_special_words_are_rewritten_alike(spark):
     as_json = lambda v: json.loads(json.dumps(v))
     for r in rows:
         assert (None if r["j"] is None else json.loads(r["j"])) == as_json(read(r["t"])), r["t"]
+
+
+ODD_JSON = ["1", "", " ", "1,2", "1],[2", "1}, {", "[1] [2]", '"a", "b', '"a"', " [1, 2] ", "\n{\"a\": 1}", '{"a": 1, "a": 2}', "[1", "1,", ",1", "null", "[null]", "1, null",
+            '"abc', "]", "}", '{"a": [1, {"b": "]}"}]}', "\t'x'", "01", "NaN", '1 "', '1,"', '{"a": 1} x', "\u00a0[1]", "[]", "{}", '""', None]
+
+
+def test_whole_json_by_one_parse(spark):
+    df = spark.createDataFrame([(t,) for t in ODD_JSON], "t string")
+    rows = df.select("t", is_whole_json(F.col("t")).alias("one"), whole_json(F.col("t")).isNotNull().alias("two")).collect()
+    assert [r["t"] for r in rows if r["one"] != r["two"]] == [] and sum(r["one"] for r in rows) == 10
+
+
+def test_kinds_of_json_without_its_schema(spark):
+    kind = F.coalesce(F.schema_of_variant(F.try_parse_json("t")), F.lit(""))
+    df = spark.createDataFrame([(t,) for t in ODD_JSON], "t string")
+    for mark, name in (("[", "ARRAY"), ("{", "OBJECT"), ('"', "STRING")):
+        rows = df.select("t", json_opens(F.col("t"), mark).alias("is"), F.startswith(kind, F.lit(name)).alias("was")).collect()
+        assert [r["t"] for r in rows if r["is"] != r["was"]] == [] and any(r["is"] for r in rows)
+
+
+def test_a_literal_is_parsed_once_to_check_it(spark):
+    """And what it holds is not described to learn its kind; words that only look special change nothing."""
+    df = spark.createDataFrame([(i, t, t, t) for i, t in enumerate(["['true grue', 1]", "[('a', 'halse')]", "[True, 'rue']", "{'a': {'b': 5}}"])],
+                               "id int, constraints string, dist_matrix string, golden_plan string")
+    once = with_literals(df, {"json": F.col("constraints")})
+    assert [r["json"] for r in once.orderBy("id").collect()] == ['["true grue", 1]', '[["a", "halse"]]', '[true, "rue"]', '{"a": {"b": 5}}']
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    kinds = decoded(df).select("matrix", "golden_list", "golden_text")
+    assert kinds._jdf.queryExecution().optimizedPlan().toString().count("schemaOfVariant") == 0
