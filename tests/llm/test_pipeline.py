@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from planloom.llm import decontaminate, near_copies, packing
+from planloom.llm import decontaminate, near_copies, packing, simhash
 
 DATA = "/root/testdata/sf0.001"
 
@@ -260,3 +260,29 @@ def test_batches_are_joined():
     assert len(out) < 50 and all(5000 <= b.nbytes < 6000 for b in out[:-1])
     assert [b.num_rows for b in packing.joined(iter(parts[:3]), 1)] == [10, 10, 10]
     assert list(packing.joined(iter([]), 1)) == []
+
+
+def test_components_of_a_large_group_are_whole(spark, monkeypatch):
+    """Pairs that others connect already need no comparison: with crowded buckets and few named shingles the components are those of all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(near_copies, "_NAMED", 3)
+    rng = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(900)]
+    rows = []
+    for n, size in ((110, 90), (60, 30)):
+        words = rng.choices(vocabulary, k=n)
+        for _ in range(size):
+            copy = list(words)
+            for _ in range(rng.randrange(5)):
+                copy[rng.randrange(n)] = rng.choice(vocabulary)
+            rows.append(copy)
+        rows += [words[:30] + rng.choices(vocabulary, k=n - 30) for _ in range(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    rng.shuffle(rows)
+    found = near_copies.near_copies(spark.createDataFrame(rows, "key bigint, text string")).collect()
+    assert sorted(r["key"] for r in found) == list(range(len(rows)))
+    lowest = {}
+    for r in found:
+        lowest[r["root"]] = min(r["key"], lowest.get(r["root"], len(rows)))
+    kept = _kept_by_force(rows)
+    assert sorted(lowest.values()) == kept and 30 < len(kept) < len(rows) - 60
